@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["q_urls", "q_metrics"]
+MODULES = ["q_urls", "q_metrics", "q_corpus", "q_joins"]
 
 
 def _load():
