@@ -230,7 +230,7 @@ def long_runs(spark, sf, keys=None, metrics=("macro_f1", "fpr", "roc_auc")):
 def long_features(spark, sf):
     """(dataset, source_row, label, feature, value): the 35 features as rows."""
     f = U.url_features(fx.urls(spark, sf))
-    return f.select("dataset", "source_row", "label", *[F.col(n).cast("double").alias(n) for n in U.FEATURE_NAMES]).unpivot(
+    return f.select("dataset", "source_row", "label", *[F.round(F.col(n).cast("double"), 10).alias(n) for n in U.FEATURE_NAMES]).unpivot(
         ["dataset", "source_row", "label"], U.FEATURE_NAMES, "feature", "value")
 
 
@@ -239,7 +239,7 @@ def _features_long_cte():
     from .urls_sql import FEATURE_SQL
 
     return feature_ctes("fx_urls") + ", fl AS (SELECT dataset, source_row, label, feature, value FROM (SELECT dataset, source_row, label, " + ", ".join(
-        f"CAST({k} AS DOUBLE) AS {k}" for k in FEATURE_SQL) + f" FROM feat) UNPIVOT (value FOR feature IN ({', '.join(FEATURE_SQL)})))"
+        f"round(CAST({k} AS DOUBLE), 10) AS {k}" for k in FEATURE_SQL) + f" FROM feat) UNPIVOT (value FOR feature IN ({', '.join(FEATURE_SQL)})))"
 
 
 FLONG = _features_long_cte()
@@ -342,11 +342,11 @@ def majority_direction(df, keys, value):
     pos, neg = count_if(F.col(value) > 0), count_if(F.col(value) < 0)
     g = df.groupBy(*keys).agg(pos.alias("positive"), neg.alias("negative"), count_if(F.col(value) == 0).alias("zero"))
     majority = F.when(F.col("positive") + F.col("negative") == 0, 0).when(F.col("negative") >= F.col("positive"), -1).otherwise(1)
-    return g.withColumns({"majority": majority, "consistency": rnd(F.coalesce(div(
-        F.greatest("positive", "negative"), F.col("positive") + F.col("negative")), F.lit(0.0)))})
+    return g.withColumns({"majority": majority, "consistency": rnd(div(
+        F.greatest("positive", "negative"), F.col("positive") + F.col("negative")))})
 
 
-@query("g13_majority_sign", """SELECT feature, held_fold, positive, negative, zero, CASE WHEN positive + negative = 0 THEN 0 WHEN negative >= positive THEN -1 ELSE 1 END AS majority, round(coalesce(greatest(positive, negative) / CAST(nullif(positive + negative, 0) AS DOUBLE), 0.0), 9) + 0.0 AS consistency
+@query("g13_majority_sign", """SELECT feature, held_fold, positive, negative, zero, CASE WHEN positive + negative = 0 THEN 0 WHEN negative >= positive THEN -1 ELSE 1 END AS majority, round(greatest(positive, negative) / CAST(nullif(positive + negative, 0) AS DOUBLE), 9) + 0.0 AS consistency
 FROM (SELECT feature, held_fold, count(*) FILTER (WHERE attribution > 0) AS positive, count(*) FILTER (WHERE attribution < 0) AS negative, count(*) FILTER (WHERE attribution = 0) AS zero FROM fx_attr GROUP BY ALL)""", ATTR)
 def g13(spark, sf):
     return majority_direction(fx.attributions(spark, sf), ["feature", "held_fold"], "attribution")
