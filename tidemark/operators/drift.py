@@ -52,18 +52,18 @@ def js_divergence(df: DataFrame, keys: list[str], p: str, is_left: Column, bins:
     """Jensen-Shannon divergence of equal-width histograms on [0, 1], base 2, 1e-12 added to every bin."""
     b = F.least(F.floor(F.col(p) * bins), F.lit(bins - 1)).cast("int")
     h = df.groupBy(*keys, b.alias("_b")).agg(F.count_if(is_left).alias("l"), F.count_if(~is_left).alias("r"))
-    tot = h.groupBy(*keys).agg(F.sum("l").alias("L"), F.sum("r").alias("R"), F.count(F.lit(1)).alias("used"))
+    tot = h.groupBy(*keys).agg(F.sum("l").alias("tl"), F.sum("r").alias("tr"), F.count(F.lit(1)).alias("used"))
     eps = 1e-12
     j = h.join(tot, keys)
-    pl = (F.col("l") + eps) / (F.col("L") + eps * bins)
-    pr = (F.col("r") + eps) / (F.col("R") + eps * bins)
+    pl = (F.col("l") + eps) / (F.col("tl") + eps * bins)
+    pr = (F.col("r") + eps) / (F.col("tr") + eps * bins)
     mid = (pl + pr) / 2
 
     def part(x, m):
         return 0.5 * x * F.log2(x / m)
 
     # bins empty on both sides still carry the smoothing mass
-    el, er = eps / (F.col("L") + eps * bins), eps / (F.col("R") + eps * bins)
+    el, er = eps / (F.col("tl") + eps * bins), eps / (F.col("tr") + eps * bins)
     empty = (bins - F.col("used")) * (part(el, (el + er) / 2) + part(er, (el + er) / 2))
     return j.groupBy(*keys).agg((F.sum(part(pl, mid) + part(pr, mid)) + F.max(empty)).alias("js_divergence"))
 

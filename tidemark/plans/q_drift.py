@@ -104,7 +104,7 @@ I05_FEATURES = ["url_length", "hostname_length", "path_length", "query_length",
                 "dot_count", "slash_count", "path_segment_count", "token_count", "url_char_entropy"]
 
 
-@query("i05_spearman_matrix", f"""SELECT a.dataset, a.feature AS left_feature, b.feature AS right_feature, round(corr(a.rk, b.rk), 7) + 0.0 AS rho, abs(round(corr(a.rk, b.rk), 7)) >= 0.95 AS strong
+@query("i05_spearman_matrix", f"""SELECT a.dataset, a.feature AS left_feature, b.feature AS right_feature, CASE WHEN isnan(corr(a.rk, b.rk)) THEN NULL ELSE round(corr(a.rk, b.rk), 7) + 0.0 END AS rho, CASE WHEN isnan(corr(a.rk, b.rk)) THEN NULL ELSE abs(round(corr(a.rk, b.rk), 7)) >= 0.95 END AS strong
 FROM rk a JOIN rk b ON a.dataset = b.dataset AND a.source_row = b.source_row JOIN ord oa ON a.feature = oa.f JOIN ord ob ON b.feature = ob.f AND oa.o < ob.o GROUP BY ALL""", URLS,
        FLONG + f", ord AS (SELECT * FROM (VALUES {', '.join(f'({chr(39)}{n}{chr(39)}, {i})' for i, n in enumerate(I05_FEATURES))}) AS t(f, o)), rk AS (SELECT dataset, source_row, feature, rank() OVER (PARTITION BY dataset, feature ORDER BY value) + (count(*) OVER (PARTITION BY dataset, feature, value) - 1) / 2.0E0 AS rk FROM fl WHERE feature IN (SELECT f FROM ord))")
 def i05(spark, sf):
@@ -136,13 +136,13 @@ def flips(rho):
                                    F.max(F.when(F.col("dataset") == "src_b", F.col("rho"))).alias("target_rho"))
     s, t = D.dead_zone_sign(F.col("source_rho"), 0.02), D.dead_zone_sign(F.col("target_rho"), 0.02)
     return w.withColumns({"source_sign": s, "target_sign": t, "direction_flip": s * t < 0,
-                          "absolute_change": rnd(F.abs(F.col("target_rho") - F.col("source_rho")), 7)})
+                          "absolute_change": rnd(F.abs(F.col("target_rho") - F.col("source_rho")), 8)})
 
 
 _SG = "CASE WHEN abs({0}) <= 0.02 THEN 0 ELSE CAST(sign({0}) AS INTEGER) END"
 
 
-@query("i07_direction_flip", f"SELECT *, {_SG.format('source_rho')} AS source_sign, {_SG.format('target_rho')} AS target_sign, ({_SG.format('source_rho')}) * ({_SG.format('target_rho')}) < 0 AS direction_flip, round(abs(target_rho - source_rho), 7) + 0.0 AS absolute_change FROM flip", URLS, FLONG + "," + _RHO)
+@query("i07_direction_flip", f"SELECT *, {_SG.format('source_rho')} AS source_sign, {_SG.format('target_rho')} AS target_sign, ({_SG.format('source_rho')}) * ({_SG.format('target_rho')}) < 0 AS direction_flip, round(abs(target_rho - source_rho), 8) + 0.0 AS absolute_change FROM flip", URLS, FLONG + "," + _RHO)
 def i07(spark, sf):
     return flips(label_rho(spark, sf))
 

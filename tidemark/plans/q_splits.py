@@ -60,7 +60,7 @@ def one_model(spark, sf):
 
 @query("j05_split_summary", """SELECT dataset, repetition, split, count(*) AS row_count, count(*) FILTER (WHERE label = 0) AS benign, count(*) FILTER (WHERE label = 1) AS phishing, count(DISTINCT entity) AS distinct_entity, count(DISTINCT host_id) AS distinct_host_id,
  round(count(*) / CAST(sum(count(*)) OVER (PARTITION BY dataset, repetition) AS DOUBLE), 9) + 0.0 AS fraction, round(count(*) / CAST(sum(count(*)) OVER (PARTITION BY dataset, repetition) AS DOUBLE) - CASE split WHEN 'train' THEN 0.7 ELSE 0.15 END, 9) + 0.0 AS deviation,
- round(count(*) FILTER (WHERE label = 1) / CAST(count(*) AS DOUBLE), 9) + 0.0 AS prevalence FROM fx1 GROUP BY ALL""", SCORED, _BASE)
+ round(count(*) FILTER (WHERE label = 1) / CAST(count(*) AS DOUBLE), 9) + 0.0 AS prevalence FROM fx1 GROUP BY dataset, repetition, split""", SCORED, _BASE)
 def j05(spark, sf):
     out = J.split_summary(one_model(spark, sf), ["dataset", "repetition"], ["entity", "host_id"])
     return out.withColumns({c: rnd(c) for c in ("fraction", "deviation", "prevalence")})
@@ -116,7 +116,7 @@ def j10(spark, sf):
         F.max("f").cast("int").alias("max_folds_per_entity"), F.bool_and((F.col("y") > 0) & (F.col("y") < F.col("n"))).alias("both_classes"))
 
 
-@query("j11_fold_balance", "SELECT label, held_fold, count(*) AS row_count, round(count(*) / CAST(sum(count(*)) OVER (PARTITION BY label) AS DOUBLE), 9) + 0.0 AS share FROM (SELECT vec_id % 5 AS held_fold, label % 2 AS label FROM embeddings) GROUP BY ALL")
+@query("j11_fold_balance", "SELECT label, held_fold, count(*) AS row_count, round(count(*) / CAST(sum(count(*)) OVER (PARTITION BY label) AS DOUBLE), 9) + 0.0 AS share FROM (SELECT vec_id % 5 AS held_fold, label % 2 AS label FROM embeddings) GROUP BY label, held_fold")
 def j11(spark, sf):
     e = fx.table(spark, sf, "embeddings").select((F.col("vec_id") % 5).alias("held_fold"), (F.col("label") % 2).alias("label"))
     g = e.groupBy("label", "held_fold").agg(F.count(F.lit(1)).alias("row_count"))
