@@ -127,14 +127,36 @@ def hash_rank(df: DataFrame, keys: list[str], hash_col: str, ties: list[str]) ->
     return out.select(*df.columns, (F.col("_off") + F.col("_local")).alias("_rank"), "_total")
 
 
+def _small_spearman(df, keys, x, y, constant):
+    """Centred average ranks by window: rows up to and including the peers, less half the peers."""
+    whole = Window.partitionBy(*keys)
+    one = F.count(F.lit(1))
+
+    def centred(c):
+        w = whole.orderBy(c)
+        upto = one.over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+        peers = one.over(w.rangeBetween(Window.currentRow, Window.currentRow))
+        return upto - peers / 2.0 - one.over(w.rangeBetween(Window.unboundedPreceding, Window.unboundedFollowing)) / 2.0
+
+    r = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, centred(x).alias("_rx"), centred(y).alias("_ry"))
+    agg = r.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("_rx") * F.col("_ry")).alias("_xy"),
+        F.sum(F.col("_rx") * F.col("_rx")).alias("_xx"), F.sum(F.col("_ry") * F.col("_ry")).alias("_yy"))
+    rho = F.try_divide(F.col("_xy"), F.sqrt("_xx") * F.sqrt("_yy"))
+    return agg.select(*keys, "n", F.coalesce(rho, F.lit(constant).cast("double")).alias("rho"))
+
+
 def spearman(df: DataFrame, keys: list[str], x: str, y: str, constant: float | None = None,
              block_rows: int | None = None) -> DataFrame:
     """(keys, n, rho): rank correlation with shared ties; ``constant`` where a side does not vary.
 
-    Works on the counts per (keys, x, y); ranks come from the two marginals.
+    Where all rows together fit one task (a checked count), both ranks are windows over the keys: one
+    shuffle.  Beyond that the ranks come from the counts per (keys, x) and (keys, y), taken in blocks.
     """
     from .skew import skew_join
 
+    if not plan_blocks(df, x, block_rows):
+        return _small_spearman(df, keys, x, y, constant)
     cells = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(
         *keys, F.col(x).alias("_x"), F.col(y).alias("_y")).agg(F.count(F.lit(1)).alias("_n"))
 

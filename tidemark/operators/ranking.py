@@ -59,7 +59,7 @@ def compare_rankings(pairs: DataFrame, keys: list[str]) -> DataFrame:
     ranked = pairs.withColumns({"_rl": avg("left_rank"), "_rr": avg("right_rank")})
     top = (l <= 20) | (r <= 20)
     return ranked.groupBy(*keys).agg(
-        *jac, F.round(F.corr("_rl", "_rr"), 9).alias("rank_spearman"),
+        *jac, F.corr("_rl", "_rr").alias("rank_spearman"),
         F.round(F.avg(same.cast("double")), 9).alias("direction_agreement_all"),
         F.round(F.avg(F.when(top, same.cast("double"))), 9).alias("direction_agreement_top20"))
 
@@ -76,7 +76,7 @@ def feature_stability(summary: DataFrame, keys: list[str], k: int, n_runs: Colum
     s = F.col("direction_sign")
     g = summary.groupBy(*keys, "feature").agg(
         F.count(F.lit(1)).alias("n_runs"), count_if(F.col("ord") <= k).alias("top_k_count"),
-        F.round(F.avg("rank"), 9).alias("mean_rank"), F.round(F.stddev_samp("rank"), 9).alias("rank_sd"),
+        F.avg("rank").alias("mean_rank"), F.stddev_samp("rank").alias("rank_sd"),
         F.round(F.avg("mean_abs"), 12).alias("mean_importance"), count_if(s > 0).alias("positive"), count_if(s < 0).alias("negative"))
     eligible = F.col("positive") + F.col("negative")
     return g.withColumns({
