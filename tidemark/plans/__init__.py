@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["q_urls", "q_metrics", "q_corpus", "q_joins", "q_drift", "q_splits", "q_ranking", "q_inference"]
+MODULES = ["q_urls", "q_metrics", "q_corpus", "q_joins", "q_drift", "q_splits", "q_ranking", "q_inference", "q_models", "q_synthesis"]
 
 
 def _load():
