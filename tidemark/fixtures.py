@@ -10,6 +10,13 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Before a step that multiplies rows: a scan with fewer splits than cores is dealt out to all of them.
+    A table of many files keeps its own splits, so nothing is shuffled at scale."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 # --------------------------------------------------------------------------- labelled URLs
 URLS_SQL = """
 fx_base AS (
@@ -79,7 +86,7 @@ RAW_SQL = "fx_raw AS (\n" + "\nUNION ALL ".join(
 
 def raw_urls(spark: SparkSession, sf: str) -> DataFrame:
     kinds = F.array(*[F.expr(v).cast("string") for v in _VARIANTS])
-    return table(spark, sf, "pages").select("page_id", F.posexplode(kinds).alias("i", "raw_url")).selectExpr(
+    return spread(table(spark, sf, "pages").select("page_id", "url")).select("page_id", F.posexplode(kinds).alias("i", "raw_url")).selectExpr(
         "page_id * 100 + i as source_row", "raw_url")
 
 
@@ -109,7 +116,7 @@ def samples(spark: SparkSession, sf: str) -> DataFrame:
 
 def scored(spark: SparkSession, sf: str) -> DataFrame:
     return (
-        samples(spark, sf)
+        spread(samples(spark, sf))
         .withColumn("repetition", F.explode(F.sequence(F.lit(0), F.lit(9))))
         .withColumn("model", F.explode(F.array(F.lit("m1"), F.lit("m2"))))
         .selectExpr(
@@ -133,7 +140,7 @@ SELECT sample_id, label, held_fold, feature, value, rep AS repetition,
 
 
 def attributions(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "embeddings").select(
+    return spread(table(spark, sf, "embeddings").select("vec_id", "label", "embedding")).select(
         F.col("vec_id").alias("sample_id"), (F.col("label") % 2).alias("label"),
         (F.col("vec_id") % 5).alias("held_fold"),
         F.posexplode(F.slice("embedding", 1, 35)).alias("feature", "x"),

@@ -22,17 +22,17 @@ def plan_blocks(df: DataFrame, order: str, block_rows: int | None = None) -> lis
     retried task can never see other cuts; they steer balance only and never change a result.
     """
     block_rows = block_rows or BLOCK_ROWS
-    grid = [i / 1024 for i in range(1, 1024)]
+    grid = [i / 256 for i in range(1, 256)]
     row = df.select(F.col(order).cast("double").alias("v")).agg(
-        F.count(F.lit(1)).alias("n"), F.percentile_approx("v", F.lit(grid), F.lit(20000)).alias("q")).first()
+        F.count(F.lit(1)).alias("n"), F.percentile_approx("v", F.lit(grid), F.lit(2000)).alias("q")).first()
     wanted = min(-(-row.n // block_rows), MAX_BLOCKS)
     if wanted <= 1 or row.q is None:
         return []
-    if wanted > 1024:
+    if wanted > 256:
         fine = [i / wanted for i in range(1, wanted)]
         row = df.agg(F.percentile_approx(F.col(order).cast("double"), F.lit(fine), F.lit(100000)).alias("q")).first()
         return sorted(set(row.q))
-    step = 1024 / wanted
+    step = 256 / wanted
     return sorted({row.q[int(i * step) - 1] for i in range(1, wanted)})
 
 

@@ -202,9 +202,10 @@ def reliability(df: DataFrame, keys: list[str], bins: int = 15) -> DataFrame:
                       div(cell["sp"], cell["n"]).alias("mean_score"), div(cell["sy"], cell["n"]).alias("positive_rate"))
 
 
-def entity_weights(df: DataFrame, keys: list[str], entity: str, name: str = "weight") -> DataFrame:
+def entity_weights(df: DataFrame, keys: list[str], entity: str, name: str = "weight",
+                   salt_by: list[str] | None = None) -> DataFrame:
     """Adds 1 / (rows of the entity in the cohort); ``keys`` must include the cohort."""
-    out = with_group_stats(df, [*keys, entity], {"_size": F.count(F.lit(1))})
+    out = with_group_stats(df, [*keys, entity], {"_size": F.count(F.lit(1))}, salt_by)
     return out.withColumn(name, 1.0 / F.col("_size")).drop("_size")
 
 

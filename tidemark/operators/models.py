@@ -20,8 +20,8 @@ from . import metrics as M
 
 # Three candidates per family.
 GRID = {
-    "lr": [("lr_c01", {"C": 0.1, "balanced": False}), ("lr_c1", {"C": 1.0, "balanced": False}),
-           ("lr_c1_balanced", {"C": 1.0, "balanced": True})],
+    "lr": [("lr_c01", {"C": 0.1, "iterations": 2000, "balanced": False}), ("lr_c1", {"C": 1.0, "iterations": 2000, "balanced": False}),
+           ("lr_c1_balanced", {"C": 1.0, "iterations": 2000, "balanced": True})],
     "rf": [("rf_depth16_leaf1", {"trees": 200, "depth": 16, "leaf": 1, "balanced": False}),
            ("rf_depth24_leaf2", {"trees": 200, "depth": 24, "leaf": 2, "balanced": False}),
            ("rf_unlimited_leaf5_balanced", {"trees": 200, "depth": 30, "leaf": 5, "balanced": True})],
@@ -44,7 +44,7 @@ def build_model(family: str, params: dict, names: list[str], rows: int, seed: in
     stages = [VectorAssembler(inputCols=names, outputCol="features")]
     if family == "lr":
         stages += [StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True),
-                   LogisticRegression(featuresCol="scaled", weightCol="_w", maxIter=2000, regParam=1.0 / (params["C"] * max(rows, 1)), standardization=False)]
+                   LogisticRegression(featuresCol="scaled", weightCol="_w", maxIter=params["iterations"], regParam=1.0 / (params["C"] * max(rows, 1)), standardization=False)]
     elif family == "rf":
         stages.append(RandomForestClassifier(featuresCol="features", weightCol="_w", numTrees=params["trees"], maxDepth=params["depth"],
                                              minInstancesPerNode=params["leaf"], featureSubsetStrategy="sqrt", seed=seed))
@@ -125,7 +125,7 @@ def load(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
-def source_discrimination(df: DataFrame, names: list[str], entity: str, seeds: list[int]) -> DataFrame:
+def source_discrimination(df: DataFrame, names: list[str], entity: str, seeds: list[int], iterations: int = 2000) -> DataFrame:
     """How well a balanced logistic model tells the two sources apart inside each class, on entities it has
     not seen.  ``df`` has label, source_id and the features; one fit per class and seed."""
     from ..functions.columns import joined, unit
@@ -144,7 +144,7 @@ def source_discrimination(df: DataFrame, names: list[str], entity: str, seeds: l
                 Imputer(strategy="median", inputCols=names, outputCols=[f"{n}_f" for n in names]),
                 VectorAssembler(inputCols=[f"{n}_f" for n in names], outputCol="features"),
                 StandardScaler(inputCol="features", outputCol="scaled", withMean=True),
-                LogisticRegression(featuresCol="scaled", weightCol="_w", maxIter=200, regParam=1.0 / (neg + pos))])
+                LogisticRegression(featuresCol="scaled", weightCol="_w", maxIter=iterations, regParam=1.0 / (neg + pos))])
             model = pipe.fit(train.withColumn("_w", w).withColumn("label", F.col("label").cast("double")))
             s = score(model, test.select("label", *names)).withColumns({"class_label": F.lit(y), "seed": F.lit(seed)})
             a = M.score_table(s, ["class_label", "seed"]).groupBy("class_label", "seed").agg(

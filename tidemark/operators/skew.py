@@ -15,9 +15,11 @@ HOT_GROUPS = 1000
 SALTS = 256
 
 
-def skew_join(left: DataFrame, right: DataFrame, on: list[str], weight: str, how: str = "left") -> DataFrame:
+def skew_join(left: DataFrame, right: DataFrame, on: list[str], weight: str, how: str = "left",
+              salt_by: list[str] | None = None) -> DataFrame:
     """Join ``left`` to ``right``, which is unique on ``on`` and carries in ``weight`` the number of
-    left rows per key.  Keeps ``left``'s columns and adds ``right``'s (weight included)."""
+    left rows per key.  Keeps ``left``'s columns and adds ``right``'s (weight included).
+    ``salt_by`` names columns that tell the rows of a group apart (default: all of them)."""
     extra = [c for c in right.columns if c not in on]
     top = right.orderBy(F.col(weight).desc(), *[F.col(k).asc() for k in on]).limit(HOT_GROUPS)
     hot = top.select(*[F.col(k).alias(f"_h_{k}") for k in on], F.struct(*extra).alias("_hot"))
@@ -28,7 +30,7 @@ def skew_join(left: DataFrame, right: DataFrame, on: list[str], weight: str, how
     out = left.join(F.broadcast(hot), cond, "left").drop(*[f"_h_{k}" for k in on])
     is_hot = F.col("_hot").isNotNull()
     out = out.withColumn(
-        "_salt", F.when(is_hot, F.pmod(F.xxhash64(*left.columns), F.lit(SALTS)) + 1).otherwise(F.lit(0)))
+        "_salt", F.when(is_hot, F.pmod(F.xxhash64(*(salt_by or left.columns)), F.lit(SALTS)) + 1).otherwise(F.lit(0)))
     cold = right.select(*[F.col(k).alias(f"_c_{k}") for k in on], F.struct(*extra).alias("_cold"),
                         F.lit(0).cast("long").alias("_c_salt"))
     cond = F.col("_salt") == F.col("_c_salt")
@@ -40,7 +42,8 @@ def skew_join(left: DataFrame, right: DataFrame, on: list[str], weight: str, how
     return out.select(*left.columns, *[F.col(f"_stat.{c}").alias(c) for c in extra])
 
 
-def with_group_stats(df: DataFrame, keys: list[str], aggs: dict[str, Column]) -> DataFrame:
+def with_group_stats(df: DataFrame, keys: list[str], aggs: dict[str, Column],
+                     salt_by: list[str] | None = None) -> DataFrame:
     """Aggregate window ``agg over (partition by keys)`` without moving a group into one task."""
     stats = df.groupBy(*keys).agg(*[c.alias(n) for n, c in aggs.items()], F.count(F.lit(1)).alias("_rows"))
-    return skew_join(df, stats, keys, "_rows").drop("_rows")
+    return skew_join(df, stats, keys, "_rows", salt_by=salt_by).drop("_rows")

@@ -144,7 +144,7 @@ WSQL = f"fx_w AS (SELECT *, 1.0E0 / count(*) OVER (PARTITION BY {RUNC}, entity)
 @query("h20_domain_weights", f"""
 SELECT {RUNC}, round(sum(w), 6) + 0.0 AS weight_sum, count(*) AS row_count, round(max(w), 9) + 0.0 AS max_weight, round(min(w), 9) + 0.0 AS min_weight FROM fx_w GROUP BY ALL""", S, WSQL)
 def h20(spark, sf):
-    w = M.entity_weights(fx.scored(spark, sf), KC, "entity")
+    w = M.entity_weights(fx.scored(spark, sf), KC, "entity", salt_by=["sample_id"])
     return w.groupBy(*KC).agg(rnd(F.sum("weight"), 6).alias("weight_sum"), F.count(F.lit(1)).alias("row_count"),
                               rnd(F.max("weight")).alias("max_weight"), rnd(F.min("weight")).alias("min_weight"))
 
@@ -173,7 +173,7 @@ JOIN (SELECT {RUNC}, round(sum(w * pow(p - label, 2)) / sum(w), 7) + 0.0 AS brie
 JOIN (SELECT {RUNC}, round(sum(abs(d)) / sum(w), 7) + 0.0 AS ece FROM (SELECT {RUNC}, least(floor(p * 15), 14) AS bin, sum(w * p) - sum(w * label) AS d, sum(w) AS w FROM fx_w GROUP BY ALL) GROUP BY ALL) e USING ({RUNC})""",
        S, WSQL)
 def h22(spark, sf):
-    w = M.entity_weights(fx.scored(spark, sf), KC, "entity")
+    w = M.entity_weights(fx.scored(spark, sf), KC, "entity", salt_by=["sample_id"])
     s = M.score_table(w, KC, weight="weight")
     rank = s.groupBy(*KC).agg(rnd(M.roc_auc(), 7).alias("roc_auc"), rnd(M.pr_auc(), 7).alias("pr_auc"))
     loss = w.groupBy(*KC).agg(

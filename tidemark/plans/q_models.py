@@ -21,12 +21,14 @@ from .q_metrics import K
 from .registry import query
 
 NAMES = [f"f{i}" for i in range(35)]
-SMALL = {"trees": 10, "depth": 5}  # registered queries use small ensembles; GRID holds the full settings
+# registered queries use small ensembles and few iterations; GRID holds the full settings
+SMALL = {"trees": 10, "depth": 5, "iterations": 20}
+LR1 = {"C": 1.0, "iterations": 20, "balanced": False}
 
 
 def rows(spark, sf):
     """Embedding rows as a labelled corpus: 35 features, an entity, two sources and an entity-disjoint split."""
-    e = fx.table(spark, sf, "embeddings").select(
+    e = fx.spread(fx.table(spark, sf, "embeddings").select("vec_id", "label", "embedding")).select(
         F.col("vec_id").alias("sample_id"), (F.col("label") % 2).cast("int").alias("label"), (F.col("vec_id") % 97).alias("entity"),
         F.when(F.col("vec_id") % 3 == 0, "src_b").otherwise("src_a").alias("dataset"), (F.col("vec_id") % 5).alias("held_fold"),
         *[F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(35)])
@@ -59,12 +61,12 @@ def m02(spark, sf):
 @query("m03_select_model")
 def m03(spark, sf):
     train, val, _ = parts(rows(spark, sf))
-    _, _, tuning = L.select_model(train, val, "lr", NAMES, 7)
+    _, _, tuning = L.select_model(train, val, "lr", NAMES, 7, L.candidate_grid("lr", **SMALL))
     return L.tuning_table(spark, tuning).drop("fit_seconds")
 
 
 def _lr(train):
-    return L.fit(train, "lr", {"C": 1.0, "balanced": False}, NAMES, 7)
+    return L.fit(train, "lr", LR1, NAMES, 7)
 
 
 def _predictions(spark, sf):
@@ -97,7 +99,7 @@ def _subset_metrics(df, sets):
     train, val, test = parts(df)
     out = []
     for name, names in sets.items():
-        model = L.fit(train, "lr", {"C": 1.0, "balanced": False}, names, 7)
+        model = L.fit(train, "lr", LR1, names, 7)
         s = L.score(model, test).withColumn("feature_set", F.lit(name))
         out.append(M.metric_table(s, ["feature_set"], F.lit(0.5)).withColumn("n_features", F.lit(len(names))))
     return reduce(lambda a, b: a.unionByName(b), out)
@@ -156,7 +158,7 @@ def m10(spark, sf):
 @query("i15_source_discrimination")
 def i15(spark, sf):
     df = rows(spark, sf).withColumn("source_id", (F.col("dataset") == "src_b").cast("int")).select("label", "source_id", "entity", *NAMES)
-    return L.source_discrimination(df, NAMES, "entity", [11, 12]).withColumn("auc", rnd("auc", 6))
+    return L.source_discrimination(df, NAMES, "entity", [11, 12], iterations=20).withColumn("auc", rnd("auc", 6))
 
 
 # ------------------------------------------------------------------ model-fitting compositions of R
@@ -164,7 +166,7 @@ def i15(spark, sf):
 def r12(spark, sf):
     """Fit on four folds, attribute a balanced sample of the fifth, rank; sample and fit entities are disjoint by fold."""
     df = rows(spark, sf).filter("split = 'train'").withColumn("repetition", F.lit(0))
-    folds = J.group_folds(df.drop("held_fold"), ["repetition"], "entity", F.lit("r12"), 5).persist()
+    folds = J.group_folds(df.drop("held_fold", "split"), ["repetition"], "entity", F.lit("r12"), 5).persist()
     out = []
     for h in range(5):
         fit = folds.filter(F.col("fold") != h)
@@ -182,9 +184,9 @@ def r12(spark, sf):
 def _corpus_model(spark, features, tag):
     """Select a logistic model on a URL corpus with a row-stratified split, report test metrics."""
     cut = J.row_stratified(features, ["corpus_version"], "source_row", F.lit(tag)).withColumnRenamed("source_row", "sample_id")
-    cut = cut.select("sample_id", "label", "split", *[F.col(n).cast("double").alias(n) for n in U.FEATURE_NAMES])
+    cut = cut.select("sample_id", "label", "split", *[F.col(n).cast("double").alias(n) for n in U.FEATURE_NAMES]).persist()
     train, val, test = parts(cut)
-    model, best, _ = L.select_model(train, val, "lr", U.FEATURE_NAMES, 7)
+    model, best, _ = L.select_model(train, val, "lr", U.FEATURE_NAMES, 7, L.candidate_grid("lr", **SMALL))
     s = L.score(model, test).withColumn("corpus", F.lit(tag))
     return M.metric_table(s, ["corpus"], F.lit(best["threshold"]))
 
@@ -205,9 +207,9 @@ def r17(spark, sf):
     roles = J.row_stratified(master.select("dataset", "source_row", "label"), ["dataset"], "source_row", F.lit("m")).select("source_row", "split")
     dedup = O.first_per_key(master, ["dataset", "normalized_url_sha256"], ["source_row"])
     f = U.url_features(dedup.select("source_row", "raw_url", "label")).join(roles, "source_row")
-    cut = f.select(F.col("source_row").alias("sample_id"), "label", "split", *[F.col(c).cast("double").alias(c) for c in U.FEATURE_NAMES])
+    cut = f.select(F.col("source_row").alias("sample_id"), "label", "split", *[F.col(c).cast("double").alias(c) for c in U.FEATURE_NAMES]).persist()
     train, val, test = parts(cut)
-    model, best, _ = L.select_model(train, val, "lr", U.FEATURE_NAMES, 7)
+    model, best, _ = L.select_model(train, val, "lr", U.FEATURE_NAMES, 7, L.candidate_grid("lr", **SMALL))
     return M.metric_table(L.score(model, test).withColumn("corpus", F.lit("fixed_role")), ["corpus"], F.lit(best["threshold"]))
 
 
@@ -218,7 +220,7 @@ def r19(spark, sf):
     train, target = df.filter("dataset = 'src_a' and split = 'train'"), df.filter("dataset = 'src_b'")
     long = None
     for method, names in {"all": NAMES, "top15": NAMES[:15]}.items():
-        s = L.score(L.fit(train, "lr", {"C": 1.0, "balanced": False}, names, 7), target).select("sample_id", "label", "p", F.lit(method).alias("method"))
+        s = L.score(L.fit(train, "lr", LR1, names, 7), target).select("sample_id", "label", "p", F.lit(method).alias("method"))
         long = s if long is None else long.unionByName(s)
     return long.groupBy("sample_id", "label").pivot("method", ["all", "top15"]).agg(rnd(F.first("p"), 6))
 
@@ -235,8 +237,8 @@ def r21(spark, sf):
 @query("r26_model_reconstruction")
 def r26(spark, sf):
     train, val, test = parts(rows(spark, sf))
-    a, wa, _ = L.select_model(train, val, "lr", NAMES, 7)
-    b, wb, _ = L.select_model(train, val, "lr", NAMES, 7)
+    a, wa, _ = L.select_model(train, val, "lr", NAMES, 7, L.candidate_grid("lr", **SMALL))
+    b, wb, _ = L.select_model(train, val, "lr", NAMES, 7, L.candidate_grid("lr", **SMALL))
     j = L.score(a, test).select("sample_id", "p").join(L.score(b, test).select("sample_id", F.col("p").alias("q")), "sample_id")
     return j.agg(F.max(F.abs(F.col("p") - F.col("q"))).alias("max_difference")).select(
         F.lit(wa["candidate"] == wb["candidate"]).alias("same_candidate"), F.lit(abs(wa["threshold"] - wb["threshold"])).alias("threshold_difference"), "max_difference")
