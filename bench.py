@@ -36,6 +36,7 @@ def main() -> None:
     base = raw.count()
     copies = -(-URL_ROWS // base)
     many = raw.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(copies))))
+    sink(U.url_features(raw))
     start = time.perf_counter()
     sink(U.url_features(many))
     times["url_features"] = round(time.perf_counter() - start, 3)

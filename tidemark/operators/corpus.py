@@ -172,8 +172,9 @@ def cleaning_funnel(norm: DataFrame, excluded_domains: DataFrame) -> DataFrame:
     return out.groupBy("dataset", "stage", "label").agg(F.count(F.lit(1)).alias("row_count"))
 
 
-def skew_flag(df: DataFrame, keys_df: DataFrame, on: list[str], name: str) -> DataFrame:
+def skew_flag(df: DataFrame, keys_df: DataFrame, on: list[str], name: str,
+              salt_by: list[str] | None = None) -> DataFrame:
     """Existence flag: does the row's key occur in ``keys_df``?  Weighted by the rows of ``df``."""
     present = keys_df.select(*on).distinct().withColumn("_p", F.lit(True))
     stats = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).join(present, on, "left").filter("_p")
-    return skew_join(df, stats, on, "_n").withColumn(name, F.coalesce(F.col("_p"), F.lit(False))).drop("_p", "_n")
+    return skew_join(df, stats, on, "_n", salt_by=salt_by).withColumn(name, F.coalesce(F.col("_p"), F.lit(False))).drop("_p", "_n")

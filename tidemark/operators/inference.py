@@ -24,7 +24,8 @@ def bootstrap_means(df: DataFrame, keys: list[str], value: str, order: str, draw
     """(keys, draw, mean): means of resamples; the index of item i in draw b is u32(keys|b|i) mod n."""
     g = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order), F.col(value).alias("v")))).alias("a"))
     g = g.select(*keys, F.transform("a", lambda s: s["v"]).alias("v"), joined("|", *keys).alias("_k"))
-    b = g.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    b = g.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).repartition(cores, "draw")
     n = F.size("v")
     pick = lambda i: F.element_at(F.col("v"), (u32(F.concat_ws("|", "_k", F.col("draw").cast("string"), i.cast("string"))) % n + 1).cast("int"))
     total = F.aggregate(F.sequence(F.lit(1), n), F.lit(0.0), lambda acc, i: acc + pick(i))

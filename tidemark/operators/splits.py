@@ -23,10 +23,8 @@ def row_stratified(df: DataFrame, keys: list[str], sample: str, seed) -> DataFra
     """Row-level 70/15/15 inside each label: rank by sha256(seed:id), cut at 0.70 and 0.85 of the class."""
     out = df.withColumn("_h", sha256(joined(":", seed, sample)))
     ranked = hash_rank(out, [*keys, "label"], "_h", [sample])
-    share = F.col("_rank") / F.col("_total")
     split = F.when(F.col("_rank") <= F.floor(F.col("_total") * 0.7 + 1e-9), "train").when(
         F.col("_rank") <= F.floor(F.col("_total") * 0.85 + 1e-9), "validation").otherwise("test")
-    del share
     return ranked.withColumn("split", split).drop("_h", "_rank", "_total")
 
 
@@ -175,7 +173,7 @@ def cross_source_roles(df: DataFrame, keys: list[str], source: str, entity: str)
     from .corpus import skew_flag
 
     fit = df.filter((F.col("dataset") == source) & (F.col("split") != "test")).select(*keys, entity).distinct()
-    flagged = skew_flag(df, fit, [*keys, entity], "_fit")
+    flagged = skew_flag(df, fit, [*keys, entity], "_fit", ["sample_id"])
     src = F.col("dataset") == source
     role = (F.when(src & (F.col("split") == "train"), "source_train").when(src & (F.col("split") == "validation"), "source_validation")
             .when(src, "source_unused_test").when(F.col("_fit"), "target_excluded").otherwise("target_primary"))

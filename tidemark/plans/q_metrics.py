@@ -289,7 +289,7 @@ def external_primary(rows):
     swap = F.when(F.col("dataset") == "O", "F").otherwise("O")
     fit = rows.filter("split <> 'test'").select(F.col("dataset").alias("source"), "repetition", "model", "entity").distinct()
     target = rows.withColumn("source", swap)
-    flagged = skew_flag(target, fit, ["source", "repetition", "model", "entity"], "in_source_fit")
+    flagged = skew_flag(target, fit, ["source", "repetition", "model", "entity"], "in_source_fit", ["sample_id"])
     return flagged.withColumn("included_in_primary", ~F.col("in_source_fit")).drop("in_source_fit")
 
 
