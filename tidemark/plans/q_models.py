@@ -88,10 +88,9 @@ def m05(spark, sf):
     from .q_corpus import cohorts
 
     p = _predictions(spark, sf)
-    t = M.grid_threshold(p.filter("dataset = 'src_a' and split = 'validation'"), ["dataset"]).select(F.col("threshold"))
+    t = M.grid_threshold(p.filter("dataset = 'src_a' and split = 'validation'"), ["dataset"]).select(F.col("dataset").alias("source"), "threshold")
     target = p.filter("dataset = 'src_b'").withColumn("cohort", cohorts(F.col("included_in_primary")))
-    # one threshold row
-    j = target.join(F.broadcast(t), F.lit(True))
+    j = target.withColumn("source", F.lit("src_a")).join(F.broadcast(t), "source")  # one threshold row per source
     return M.rates(M.confusion(j, ["cohort", "threshold"], F.col("threshold")))
 
 
@@ -127,11 +126,12 @@ def m08(spark, sf):
 
     p = _predictions(spark, sf)
     val = p.filter("dataset = 'src_a' and split = 'validation'")
-    grid = M.grid_threshold(val, ["dataset"]).select(F.lit("grid").alias("rule"), "threshold")
+    grid = M.grid_threshold(val, ["dataset"]).select(F.col("dataset").alias("source"), F.lit("grid").alias("rule"), "threshold")
     budget = M.budget_threshold(M.score_table(val, ["dataset"]), ["dataset"], [0.01, 0.05]).select(
-        F.concat(F.lit("fpr_"), F.col("budget").cast("string")).alias("rule"), "threshold")
+        F.col("dataset").alias("source"), F.concat(F.lit("fpr_"), F.col("budget").cast("string")).alias("rule"), "threshold")
     target = p.filter("dataset = 'src_b'").withColumn("view", F.concat(F.lit("view"), (F.col("held_fold") % 4).cast("string")))
-    j = target.withColumn("cohort", cohorts(F.col("included_in_primary"))).join(F.broadcast(grid.unionByName(budget)), F.lit(True))
+    j = target.withColumn("cohort", cohorts(F.col("included_in_primary"))).withColumn("source", F.lit("src_a")).join(
+        F.broadcast(grid.unionByName(budget)), "source")  # three threshold rows per source
     keys = ["view", "cohort", "rule", "threshold"]
     rowsum = M.confusion(j, keys, F.col("threshold")).select(*keys, *[F.col(c).cast("double").alias(c) for c in ("tp", "fp", "fn", "tn")], F.lit("row").alias("weighting"))
     equal = M.entity_confusion(j, keys, "entity", F.col("threshold")).drop("effective_entities").withColumn("weighting", F.lit("entity"))

@@ -264,9 +264,9 @@ def k17(spark, sf):
         right.select("feature", "shuffle", "_rank", F.col("c").alias("moved")), ["feature", "_rank"]).join(base.drop("label"), "sample_id")
     scored = j.select("feature", "shuffle", "label", F.round(F.col("score") - F.col("c") + F.col("moved"), 9).alias("p"))
     a = M.score_table(scored, ["feature", "shuffle"]).groupBy("feature", "shuffle").agg(M.roc_auc().alias("a"))
-    b = M.score_table(base.select(F.lit(1).alias("one"), "label", F.round("score", 9).alias("p")), ["one"]).agg(M.roc_auc().alias("b"))
+    b = M.score_table(base.select(F.lit(1).alias("one"), "label", F.round("score", 9).alias("p")), ["one"]).groupBy("one").agg(M.roc_auc().alias("b"))
     # one row: the unpermuted score's AUC
-    drop = a.join(F.broadcast(b), F.lit(True)).withColumn("d", F.col("b") - F.col("a"))
+    drop = a.withColumn("one", F.lit(1)).join(F.broadcast(b), "one").withColumn("d", F.col("b") - F.col("a"))
     return drop.groupBy("feature").agg(rnd(F.avg("d"), 7).alias("mean_drop"), rnd(F.stddev_samp("d"), 7).alias("sd_drop"))
 
 
@@ -284,10 +284,13 @@ _JP = "sp AS (SELECT a.repetition AS left_run, b.repetition AS right_run, count(
 
 
 def set_pairs(spark, sf):
+    """Runs of one selection (ten repetitions): each run meets the later ones through a list of at most ten sets."""
     s = feature_sets(composite(spark, sf).filter("rank_15 <= 15"), ["repetition"])
-    a = s.select(F.col("repetition").alias("left_run"), F.col("s").alias("a"))
-    b = s.select(F.col("repetition").alias("right_run"), F.col("s").alias("b"))
-    return a.join(b, F.col("left_run") < F.col("right_run")).select("left_run", "right_run", jaccard("a", "b").alias("jaccard"))
+    runs = s.groupBy(F.lit(15).alias("k")).agg(F.array_sort(F.collect_list(F.struct("repetition", "s"))).alias("r"))
+    left = runs.select("r", F.explode("r").alias("a"))
+    pairs = left.select("a", F.explode(F.filter("r", lambda b: b["repetition"] > F.col("a")["repetition"])).alias("b"))
+    return pairs.select(F.col("a.repetition").alias("left_run"), F.col("b.repetition").alias("right_run"),
+                        jaccard(F.col("a.s"), F.col("b.s")).alias("jaccard"))
 
 
 @query("k19_pair_jaccard", "SELECT left_run, right_run, round(shared / (30.0E0 - shared), 9) + 0.0 AS jaccard FROM sp", ATTR, CS + "," + _JP)
