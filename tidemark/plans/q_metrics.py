@@ -211,7 +211,7 @@ def apply_thresholds(rows, thresholds, keys, by):
 SELECT s.dataset, s.repetition, s.model, bt.budget, round(count(*) FILTER (WHERE p >= bt.threshold AND label = 0) / CAST(count(*) FILTER (WHERE label = 0) AS DOUBLE), 9) + 0.0 AS fpr,
  round(count(*) FILTER (WHERE p >= bt.threshold AND label = 0) / CAST(count(*) FILTER (WHERE label = 0) AS DOUBLE) / bt.budget, 6) + 0.0 AS exceedance_ratio,
  count(*) FILTER (WHERE p >= bt.threshold AND label = 0) / CAST(count(*) FILTER (WHERE label = 0) AS DOUBLE) > bt.budget AS exceeds_budget
-FROM fx_scored s JOIN bt ON s.dataset = bt.dataset AND s.repetition = bt.repetition AND s.model = bt.model WHERE s.split = 'test' GROUP BY ALL""", S, _VAL)
+FROM fx_scored s JOIN bt ON s.dataset = bt.dataset AND s.repetition = bt.repetition AND s.model = bt.model WHERE s.split = 'test' GROUP BY s.dataset, s.repetition, s.model, bt.budget""", S, _VAL)
 def h24(spark, sf):
     rows, t = frozen(spark, sf)
     c = M.rates(apply_thresholds(rows.filter("split = 'test'"), t, [*K, "budget"], K))
