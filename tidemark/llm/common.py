@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,3 +66,23 @@ def text_slices(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Itera
             total += n
         if start < len(lengths):
             yield batch, start, len(lengths)
+
+
+def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Replaces the column ``text`` by its compressed bytes ``blob``, for shuffles of whole texts."""
+    codec = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        names = [n for n in batch.schema.names if n != "text"]
+        blobs = [codec.compress((t or "").encode("utf-8", "surrogatepass")) for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(blobs, pa.binary())], [*names, "blob"])
+
+
+def packed(df: DataFrame) -> DataFrame:
+    """``df`` with ``text`` compressed into ``blob``."""
+    rest = [c for c in df.columns if c != "text"]
+    fields = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in rest)
+    return df.select(*rest, "text").mapInArrow(pack, f"{fields}, blob binary")
+
+
+def unpack(blob: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(blob)
