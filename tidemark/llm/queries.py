@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .op03_style_tree import extract
+from .op04_merkle import merkle
 from .op05_bpe import encode
 from .op06_toxicity import score
 from .op07_mixing import source_mix
 from .op08_exact import exact_groups
+from .op09_suffix import remove_repeats
 from .op10_simhash import near_groups
 
 OP8_SQL = r"""
@@ -29,6 +31,10 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle(table(spark, sf_dir, "documents"))
+
+
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"))
 
@@ -45,16 +51,22 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_style_tree": op3,
+    "op4_merkle_fingerprint": op4,
     "op5_bpe_transducer": op5,
     "op6_toxicity_trees": op6,
     "op7_source_mix": op7,
     "op8_exact_dedup": op8,
+    "op9_suffix_levels": op9,
     "op10_simhash_positions": op10,
 }
 ORACLES: dict[str, str] = {"op8_exact_dedup": OP8_SQL}
