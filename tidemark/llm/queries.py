@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .op01_feistel import pseudonymise
+from .op02_chaining import fuzzy_passages
 from .op03_style_tree import extract
 from .op04_merkle import merkle
 from .op05_bpe import encode
@@ -27,6 +29,14 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS te
 """
 
 
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymise(table(spark, sf_dir, "documents"))
+
+
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzy_passages(table(spark, sf_dir, "documents"))
+
+
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
@@ -60,6 +70,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_feistel_pseudonyms": op1,
+    "op2_collinear_chains": op2,
     "op3_style_tree": op3,
     "op4_merkle_fingerprint": op4,
     "op5_bpe_transducer": op5,
