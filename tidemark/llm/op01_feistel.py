@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import datetime
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 
@@ -46,9 +47,7 @@ class Feistel:
 
     def __init__(self, key: bytes, tweak: str, size: int):
         self.size = size
-        self.half = 1
-        while self.half * self.half < size:
-            self.half += 1
+        self.half = math.isqrt(size - 1) + 1
         self.state = hashlib.blake2b(tweak.encode() + b"/" + str(size).encode(), key=key[:64], digest_size=16)
         self.width = (self.half.bit_length() + 7) // 8 + 1
 
