@@ -13,7 +13,7 @@ so there are about log2 of the batches.  Hits tell whether all suffixes of a key
 
 Matches.  A key repeated in one context repeats all its windows.  Where contexts differ, each distinct context
 is represented once, the hashes (128 bits) of all its windows are counted over all contexts, and repeated windows
-are read back.  Nothing is paired: counts combine in the map tasks, and reads of a hot key are salted.  Windows
+are read back.  Nothing is paired: counts combine in the map tasks, and reads of a hot key are salted or split.  Windows
 of ``length`` bytes are judged on the input, removed bytes are the union of repeated windows.
 
 Edge cases: null text is empty; texts shorter than ``length`` lose nothing; rows equal in doc_id and text are
@@ -267,9 +267,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, batc
     texts = packed(rows)
     once = runs.join(texts.select("rid", "blob"), "rid").dropDuplicates(["rid"]).select("rid", "blob", "runs")
     windows = save(once.mapInArrow(_window_batches(length), "h1 long, h2 long, rid long, first int, alone boolean"), "op09-windows")
-    again = windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2", F.lit(True).alias("again"))
-    partial = attach(windows.filter("alone"), save(again, "op09-again"), ["h1", "h2"], ["rid", "first"]).filter("again").select(
-        "rid", "first", F.col("first").alias("last"))
+    again = windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2")
+    # both sides are plain shuffles, so a window that very many contexts hold is split by the adaptive skew join
+    partial = windows.filter("alone").select("h1", "h2", "rid", "first").join(
+        save(again, "op09-again"), ["h1", "h2"], "left_semi").select("rid", "first", F.col("first").alias("last"))
     twice = contexts.filter("n > 1").select("key", "context", F.lit(True).alias("twice"))
     whole = attach(mixed, twice, ["key", "context"], ["rid", "first"]).filter("twice").select("rid", "first", "last")
     alike = shared.filter("not several").select("rid", "first", "last")
