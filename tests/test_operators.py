@@ -155,6 +155,11 @@ def test_checked_join_rejects(spark):
     with pytest.raises(Exception, match="unmatched key"):
         C.checked_join(a, dup.filter("k = 2"), ["k"], cover="both").collect()
     assert C.checked_join(a, dup.filter("b <> 'q'"), ["k"], cover="both").count() == 2
+    # a pruned payload does not prune the check
+    joined = C.checked_join(a, dup, ["k"])
+    for run in (joined.count, joined.select("k").collect, joined.groupBy("k").count().collect):
+        with pytest.raises(Exception, match="duplicate key"):
+            run()
 
 
 def plan_of(df):

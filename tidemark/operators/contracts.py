@@ -37,8 +37,10 @@ def checked_join(left: DataFrame, right: DataFrame, keys: list[str], how: str =
     def unique(df, tag):
         rest = [c for c in df.columns if c not in keys]
         g = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct(*rest) if rest else F.lit(0)).alias("_r"))
-        ok = F.when(F.col("_n") == 1, F.col("_r")).otherwise(F.raise_error(F.lit(f"duplicate key on the {tag} side")))
-        return g.select(*keys, ok.alias("_r")).select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
+        fail = F.raise_error(F.lit(f"duplicate key on the {tag} side")).cast("boolean")
+        # in a filter, which column pruning cannot remove
+        g = g.filter(F.when(F.col("_n") == 1, F.lit(True)).otherwise(fail))
+        return g.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
 
     r = unique(right, "right").withColumn("_in_right", F.lit(True))
     l = (unique(left, "left") if expect == "1:1" else left).withColumn("_in_left", F.lit(True))
