@@ -26,7 +26,7 @@ def one(spark, url, keep=False):
 
 
 @pytest.mark.parametrize("url,expected", [
-    (" HTTPS://Sub.Example.CO.UK:443/a/b?x=1&empty=#frag ", ("https://sub.example.co.uk/a/b?x=1&empty=", "sub.example.co.uk", "example.co.uk", "ok")),
+    ("\tHTTP://Shop.Mein-Laden.CO.UK:80/w/v/k?a=7&b=#top", ("http://shop.mein-laden.co.uk/w/v/k?a=7&b=", "shop.mein-laden.co.uk", "mein-laden.co.uk", "ok")),
     ("host.com:8080/p", ("host.com:8080/p", "", "", "unparsed_host")),
     ("http:/x.com", ("http://x.com/", "x.com", "x.com", "ok")),
     ("http://h:99999/", ("http://h:99999/", "", "", "invalid_port")),
@@ -43,10 +43,10 @@ def test_normalizer_vectors(spark, url, expected):
 
 
 def test_feature_vector(spark):
-    df = spark.createDataFrame([(" HTTPS://Sub.Example.CO.UK:443/a/b?x=1&empty=#frag ",)], "raw_url string")
+    df = spark.createDataFrame([("\tHTTP://Shop.Mein-Laden.CO.UK:80/w/v/k?a=7&b=#top",)], "raw_url string")
     r = U.url_features(df).first()
-    assert (r.has_port, r.path_segment_count, r.query_parameter_count, r.subdomain_depth, r.fragment_length) == (0, 2, 2, 1, 4)
-    text = "https://sub.example.co.uk/a/b?x=1&empty=#frag"
+    assert (r.has_port, r.path_segment_count, r.query_parameter_count, r.subdomain_depth, r.fragment_length) == (0, 3, 2, 1, 3)
+    text = "http://shop.mein-laden.co.uk/w/v/k?a=7&b=#top"
     n = len(text)
     entropy = -sum(text.count(c) / n * math.log2(text.count(c) / n) for c in set(text))
     assert r.url_length == n and abs(r.url_char_entropy - entropy) < 1e-12
@@ -57,9 +57,9 @@ def scored(spark, rows):
 
 
 def test_budget_threshold_vector(spark):
-    df = scored(spark, zip([0, 0, 0, 0, 1, 1, 1, 1], [.01, .02, .03, .8, .2, .6, .7, .9]))
-    r = M.budget_threshold(M.score_table(df, ["k"]), ["k"], [0.0]).first()
-    assert (r.threshold, r.tp, r.fp) == (0.9, 1, 0)
+    df = scored(spark, [(0, .05), (1, .35), (0, .15), (1, .5), (0, .4), (1, .65), (0, .55), (1, .95)])
+    r = {x.budget: (x.threshold, x.tp, x.fp) for x in M.budget_threshold(M.score_table(df, ["k"]), ["k"], [0.0, 0.25]).collect()}
+    assert r == {0.0: (0.65, 2, 0), 0.25: (0.5, 3, 1)}
 
 
 def test_ece_perfect(spark):
@@ -120,16 +120,36 @@ def test_skew_join_equals_plain_join(spark):
         sk.HOT_GROUPS = old
 
 
-@pytest.mark.parametrize("capacity", [50_000, 40])
-def test_grouped_split_invariants(spark, capacity, monkeypatch):
-    monkeypatch.setattr(J, "SHARD_ENTITIES", capacity)
+def test_grouped_split_invariants(spark):
     rng = np.random.default_rng(1)
     ent = np.concatenate([np.zeros(1500, int), rng.integers(1, 400, 4500)])  # one entity holds a quarter of the rows
     pdf = pd.DataFrame({"id": range(6000), "run": 0, "entity": ent, "label": (rng.random(6000) < 0.3).astype(int)})
-    out = J.grouped_split(spark.createDataFrame(pdf), ["run"], "entity", F.lit("s")).toPandas()
+    df = spark.createDataFrame(pdf)
+    out = J.grouped_split(df, ["run"], "entity", F.lit("s")).toPandas()
     assert len(out) == 6000 and out.groupby("entity").split.nunique().max() == 1
     share = out.split.value_counts(normalize=True)
     assert abs(share["train"] - 0.7) < 0.03 and abs(share["test"] - 0.15) < 0.03
+    # the block size never changes a result
+    want = dict(zip(out.id, out.split))
+    for prefix in (0, 1):
+        other = J.grouped_split(df, ["run"], "entity", F.lit("s"), prefix=prefix).toPandas()
+        assert dict(zip(other.id, other.split)) == want
+
+
+def test_holdout_without_valid_draw_fails(spark):
+    rows = [("ok", f"e{i}", i % 2) for i in range(40)] + [("bad", f"e{i}", 0) for i in range(40)]
+    df = spark.createDataFrame(rows, "run string, entity string, label int")
+    assert J.group_holdout(df.filter("run = 'ok'"), ["run"], "entity", "h", 0.5).count() == 40
+    with pytest.raises(Exception, match="both classes on both sides"):
+        J.group_holdout(df, ["run"], "entity", "h", 0.5).collect()
+
+
+def test_reversed_scores_have_their_own_pass(spark):
+    # 1 - p merges scores that p and -p keep apart
+    df = scored(spark, [(1, .3), (0, .3 + 6e-17), (1, 1e-17), (0, 2e-17)])
+    r = M.reversal_errors(df, ["k"]).first()
+    assert (r.roc_auc, r.inverted_auc, r.negated_auc) == (0.25, 0.5, 0.75)
+    assert (r.complement_error, r.negation_error) == (0.25, 0.0)
 
 
 def test_special_functions(spark):

@@ -48,6 +48,17 @@ def inverted_auc() -> Column:
     return div(above, F.max("tot_pos") * F.max("tot_neg").cast("double"))
 
 
+def reversal_errors(df: DataFrame, keys: list[str]) -> DataFrame:
+    """AUC on p, on 1 - p and on -p, each ranked by itself (1 - p may tie scores that p keeps apart), and how far the
+    sums of the first with either of the others are from one."""
+    kinds = [("roc_auc", F.col("p")), ("inverted_auc", 1 - F.col("p")), ("negated_auc", -F.col("p"))]
+    rows = df.select(*keys, "label", F.inline(F.array(*[F.struct(F.lit(n).alias("_kind"), s.alias("p")) for n, s in kinds])))
+    auc = score_table(rows, [*keys, "_kind"]).groupBy(*keys, "_kind").agg(roc_auc().alias("auc"))
+    out = auc.groupBy(*keys).agg(*[F.max(F.when(F.col("_kind") == n, F.col("auc"))).alias(n) for n, _ in kinds])
+    return out.withColumns({"complement_error": F.abs(F.col("roc_auc") + F.col("inverted_auc") - 1),
+                            "negation_error": F.abs(F.col("roc_auc") + F.col("negated_auc") - 1)})
+
+
 def f1_macro(tp, fp, fn, tn) -> Column:
     return (ratio(2 * tp, 2 * tp + fp + fn) + ratio(2 * tn, 2 * tn + fn + fp)) / 2.0
 

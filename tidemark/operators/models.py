@@ -9,11 +9,12 @@ from __future__ import annotations
 import json
 import time
 
+from pyspark.errors import IllegalArgumentException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import metrics as M
@@ -40,20 +41,28 @@ def class_counts(train: DataFrame) -> tuple[int, int]:
     return row.n, row.p
 
 
+def _logistic(p: dict, rows: int, seed: int) -> list:
+    return [StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True),
+            LogisticRegression(featuresCol="scaled", weightCol="_w", maxIter=p["iterations"], regParam=1.0 / (p["C"] * max(rows, 1)),
+                               standardization=False)]
+
+
+def _forest(p: dict, rows: int, seed: int) -> list:
+    return [RandomForestClassifier(featuresCol="features", weightCol="_w", numTrees=p["trees"], maxDepth=p["depth"],
+                                   minInstancesPerNode=p["leaf"], featureSubsetStrategy="sqrt", seed=seed)]
+
+
+def _boosted(p: dict, rows: int, seed: int) -> list:
+    return [GBTClassifier(featuresCol="features", weightCol="_w", maxIter=p["trees"], maxDepth=p["depth"], stepSize=p["rate"],
+                          subsamplingRate=0.9, seed=seed)]
+
+
+LEARNERS = {"lr": _logistic, "rf": _forest, "boosted": _boosted}
+
+
 def build_model(family: str, params: dict, names: list[str], rows: int, seed: int) -> Pipeline:
-    stages = [VectorAssembler(inputCols=names, outputCol="features")]
-    if family == "lr":
-        stages += [StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True),
-                   LogisticRegression(featuresCol="scaled", weightCol="_w", maxIter=params["iterations"], regParam=1.0 / (params["C"] * max(rows, 1)), standardization=False)]
-    elif family == "rf":
-        stages.append(RandomForestClassifier(featuresCol="features", weightCol="_w", numTrees=params["trees"], maxDepth=params["depth"],
-                                             minInstancesPerNode=params["leaf"], featureSubsetStrategy="sqrt", seed=seed))
-    elif family == "boosted":
-        stages.append(GBTClassifier(featuresCol="features", weightCol="_w", maxIter=params["trees"], maxDepth=params["depth"],
-                                    stepSize=params["rate"], subsamplingRate=0.9, seed=seed))
-    else:
-        raise ValueError(f"unknown family: {family}")
-    return Pipeline(stages=stages)
+    """Assembler and learner of a family; ``rows`` scales the logistic penalty."""
+    return Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features"), *LEARNERS[family](params, rows, seed)])
 
 
 def fit(train: DataFrame, family: str, params: dict, names: list[str], seed: int) -> PipelineModel:
@@ -81,32 +90,43 @@ def validation_metrics(scored: DataFrame) -> dict:
     return {"threshold": row.threshold, "macro_f1": row.macro_f1, "roc_auc": row.roc_auc}
 
 
+def _tried(position: int, setting: tuple[str, dict], rate) -> dict:
+    """Tuning row of one candidate.  Only settings that MLlib refuses make a failed row; a lost executor or any
+    other error ends the job, so that it can never change the winner."""
+    began, (name, params) = time.perf_counter(), setting
+    found = {"status": "ok", "error": None, "threshold": None, "macro_f1": None, "roc_auc": None}
+    try:
+        found |= rate(name, params)
+    except IllegalArgumentException as refused:
+        found |= {"status": "failed", "error": str(refused)[:200]}
+    return {"candidate": name, "candidate_index": position, "params_json": json.dumps(params, sort_keys=True),
+            "fit_seconds": time.perf_counter() - began, **found}
+
+
 def select_model(train: DataFrame, validation: DataFrame, family: str, names: list[str], seed: int, grid=None):
-    """Fit every candidate, keep the best by (validation Macro-F1, AUC, earlier candidate).
+    """Tunes a family on ``train`` against ``validation``: (model, winner row, tuning rows).
 
-    Returns (model, winner row, tuning rows); a candidate that fails becomes a row with its error.
+    The winner is the first row of the tuning table by Macro-F1, then AUC, then position in the grid.
     """
+    models: dict[str, PipelineModel] = {}
     train, validation = train.persist(), validation.persist()
-    rows, best, best_key = [], None, None
-    for i, (name, params) in enumerate(grid or candidate_grid(family)):
-        start = time.perf_counter()
-        row = {"candidate": name, "candidate_index": i, "params_json": json.dumps(params, sort_keys=True), "status": "ok", "error": None,
-               "threshold": None, "macro_f1": None, "roc_auc": None}
-        try:
-            model = fit(train, family, params, names, seed)
-            row |= validation_metrics(score(model, validation))
-            key = (row["macro_f1"], row["roc_auc"], -i)
-            if best_key is None or key > best_key:
-                best, best_key = (model, row), key
-        except Exception as exc:  # noqa: BLE001
-            row |= {"status": "failed", "error": f"{type(exc).__name__}: {str(exc)[:200]}"}
-        row["fit_seconds"] = time.perf_counter() - start
-        rows.append(row)
-    train.unpersist()
-    validation.unpersist()
-    if best is None:
-        raise RuntimeError(f"all {family} candidates failed")
-    return best[0], best[1], rows
+
+    def rate(name: str, params: dict) -> dict:
+        models[name] = fit(train, family, params, names, seed)
+        return validation_metrics(score(models[name], validation))
+
+    try:
+        tuning = [_tried(i, s, rate) for i, s in enumerate(grid or candidate_grid(family))]
+    finally:
+        train.unpersist()
+        validation.unpersist()
+    # one row per candidate
+    order = Window.orderBy(F.desc_nulls_last("macro_f1"), F.desc_nulls_last("roc_auc"), "candidate_index")
+    ranked = tuning_table(train.sparkSession, tuning).filter("status = 'ok'").withColumn("place", F.row_number().over(order))
+    winner = ranked.filter("place = 1").drop("place").first()
+    if winner is None:
+        raise ValueError(f"MLlib refused every setting of the family {family}")
+    return models[winner.candidate], winner.asDict(), tuning
 
 
 TUNING_SCHEMA = ("candidate string, candidate_index int, params_json string, status string, error string, threshold double, "

@@ -5,18 +5,17 @@ Random draws are replaced by sha256 order, so every assignment is a pure functio
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import joined, sha256, unit
 from .cumulative import hash_rank
-from .skew import skew_join
+from .skew import skew_join, with_group_stats
 
 SPLITS = ["train", "validation", "test"]
 SHARES = [0.70, 0.15, 0.15]  # fixed values: target fractions
-HEAD_GROUPS = 2000  # entities above 1/HEAD_GROUPS of a run are placed first, in one bounded task
-SHARD_ENTITIES = 50_000  # entities per placement task
+LARGE = 20  # entities above 1/LARGE of their stratum come first in its order
+UNITS = 10_000  # shares are cut at whole ten-thousandths
 
 
 def row_stratified(df: DataFrame, keys: list[str], sample: str, seed) -> DataFrame:
@@ -28,77 +27,39 @@ def row_stratified(df: DataFrame, keys: list[str], sample: str, seed) -> DataFra
     return ranked.withColumn("split", split).drop("_h", "_rank", "_total")
 
 
-def _greedy(pdf: pd.DataFrame, targets, loads, parts) -> pd.Series:
-    """Largest entity first; each goes to the part whose summed squared relative error grows least."""
-    t0, t1 = targets
-    a0, a1 = list(loads[0]), list(loads[1])
-    n = len(parts)
-    scale = [(max(s * t0, 1e-9), max(s * t1, 1e-9), max(s * (t0 + t1), 1e-9)) for s in parts]
-    out = []
-    for n0, n1 in zip(pdf["n0"].to_numpy(), pdf["n1"].to_numpy()):
-        best, pick = None, 0
-        for k in range(n):
-            g0, g1, g = scale[k]
-            # growth of ((load - target) / target)^2 when ``d`` rows join
-            grow = 0.0
-            for load, d, g_ in ((a0[k], n0, g0), (a1[k], n1, g1), (a0[k] + a1[k], n0 + n1, g)):
-                grow += d * (2 * (load - g_) + d) / (g_ * g_)
-            if best is None or grow < best:
-                best, pick = grow, k
-        a0[pick] += n0
-        a1[pick] += n1
-        out.append(pick)
-    return pd.Series(out, index=pdf.index, dtype="int32")
-
-
-def assign_entities(counts: DataFrame, keys: list[str], entity: str, parts: list[float], seed) -> DataFrame:
-    """Greedy entity placement.  ``counts`` has one row per (keys, entity) with class counts n0 and n1.
-
-    The few entities above 1/HEAD_GROUPS of a run's rows are placed first, largest first, in one task
-    of at most HEAD_GROUPS rows.  The rest is dealt by hash into shards of about SHARD_ENTITIES
-    entities; each shard continues the same greedy from its share of the head's loads against its
-    share of the targets.  Up to SHARD_ENTITIES entities this is the plain one-pass greedy.
+def assign_entities(counts: DataFrame, keys: list[str], entity: str, parts: list[float], seed, prefix: int = 3) -> DataFrame:
+    """Entity placement by rows, one rule at every size.  ``counts`` has one row per (keys, entity) with class
+    counts n0 and n1.
+
+    The entities of a run form three strata (one class, the other, both).  A stratum lays its entities end to end:
+    first those above 1/LARGE of its rows, largest first, then the others by sha256(seed:entity).  An entity goes to
+    the part that holds the middle of its rows.  ``prefix`` hex digits of the hash cut a stratum into blocks that are
+    summed in parallel; it never changes a result.
     """
-    k = len(parts)
-    totals = counts.groupBy(*keys).agg(F.sum("n0").alias("t0"), F.sum("n1").alias("t1"), F.count(F.lit(1)).alias("e"))
-    rows = counts.withColumn("_h", sha256(joined(":", seed, entity))).join(totals, keys)
-    rows = rows.withColumn("_head", (F.col("n0") + F.col("n1")) * HEAD_GROUPS > F.col("t0") + F.col("t1"))
-    names = [f.name for f in counts.schema if f.name in (*keys, entity)]
-    types = {f.name: f.dataType.simpleString() for f in counts.schema}
-    schema = ", ".join(f"{n} {types[n]}" for n in names) + ", part int, n0 bigint, n1 bigint"
-
-    def place_head(pdf):
-        pdf = pdf.assign(_n=pdf["n0"] + pdf["n1"]).sort_values(["_n", "_h"], ascending=[False, True])
-        pdf["part"] = _greedy(pdf, (pdf["t0"].iloc[0], pdf["t1"].iloc[0]), ([0] * k, [0] * k), parts)
-        return pdf[[*names, "part", "n0", "n1"]]
-
-    head = rows.filter("_head").groupBy(*keys).applyInPandas(place_head, schema)
-    loads = head.groupBy(*keys).agg(
-        *[F.sum(F.when(F.col("part") == i, F.col(c)).otherwise(0)).alias(f"l{c}_{i}") for c in ("n0", "n1") for i in range(k)])
-    # sampling noise of a shard's class totals is small; its targets are its own rows plus its head share
-    tail = rows.filter("not _head").join(loads, keys, "left").na.fill(0, [f"l{c}_{i}" for c in ("n0", "n1") for i in range(k)])
-    shards = F.ceil(F.col("e") / SHARD_ENTITIES)
-    tail = tail.withColumn("_shards", shards).withColumn(
-        "_shard", F.pmod(F.conv(F.substring("_h", 1, 8), 16, 10).cast("long"), F.col("_shards")))
-
-    def place_tail(pdf):
-        s = float(pdf["_shards"].iloc[0])
-        pdf = pdf.assign(_n=pdf["n0"] + pdf["n1"]).sort_values(["_n", "_h"], ascending=[False, True])
-        loads0 = [pdf[f"ln0_{i}"].iloc[0] / s for i in range(k)]
-        loads1 = [pdf[f"ln1_{i}"].iloc[0] / s for i in range(k)]
-        target = (pdf["n0"].sum() + sum(loads0), pdf["n1"].sum() + sum(loads1))
-        pdf["part"] = _greedy(pdf, target, (loads0, loads1), parts)
-        return pdf[[*names, "part", "n0", "n1"]]
-
-    placed = tail.groupBy(*keys, "_shard").applyInPandas(place_tail, schema)
-    return head.unionByName(placed)
-
-
-def grouped_split(df: DataFrame, keys: list[str], entity: str, seed, shares=None, names=None) -> DataFrame:
+    stratum = [*keys, "_kind"]
+    rows = counts.withColumns({
+        "_h": sha256(joined(":", seed, entity)), "_w": F.col("n0") + F.col("n1"),
+        "_kind": F.when(F.col("n1") == 0, 0).when(F.col("n0") == 0, 1).otherwise(2)})
+    rows = with_group_stats(rows, stratum, {"_t": F.sum("_w")}, [entity])
+    large = F.col("_w") * LARGE > F.col("_t")
+    rows = rows.withColumns({"_first": F.when(large, -F.col("_w")).otherwise(0),
+                             "_block": F.when(large, "").otherwise(F.substring("_h", 1, prefix))})
+    before = Window.partitionBy(*stratum).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = rows.groupBy(*stratum, "_block").agg(F.sum("_w").alias("_b"))
+    offsets = blocks.select(*stratum, "_block", F.coalesce(F.sum("_b").over(before), F.lit(0)).alias("_off"))
+    local = Window.partitionBy(*stratum, "_block").orderBy("_first", "_h", entity).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_local", F.coalesce(F.sum("_w").over(local), F.lit(0))).join(offsets, [*stratum, "_block"])
+    middle = (2 * (F.col("_off") + F.col("_local")) + F.col("_w")) * UNITS
+    cuts = [round(sum(parts[:i]) * UNITS) for i in range(1, len(parts))]
+    part = sum(F.when(middle >= 2 * cut * F.col("_t"), 1).otherwise(0) for cut in cuts)
+    return rows.select(*keys, entity, part.alias("part"), "n0", "n1")
+
+
+def grouped_split(df: DataFrame, keys: list[str], entity: str, seed, shares=None, names=None, prefix: int = 3) -> DataFrame:
     """Group-disjoint split of rows: every entity of a run lands in one split."""
     names = names or SPLITS
     counts = df.groupBy(*keys, entity).agg(F.count_if(F.col("label") == 0).alias("n0"), F.count_if(F.col("label") == 1).alias("n1"))
-    placed = assign_entities(counts, keys, entity, shares or SHARES, seed)
+    placed = assign_entities(counts, keys, entity, shares or SHARES, seed, prefix)
     label = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("part") + 1)
     sides = placed.select(*keys, entity, label.alias("split"), (F.col("n0") + F.col("n1")).alias("_w"))
     return skew_join(df, sides, [*keys, entity], "_w").drop("_w")
@@ -136,16 +97,18 @@ def entity_overlap(df: DataFrame, keys: list[str], entities: list[str]) -> DataF
     return rows.select(*keys, "entity_type", "r.*")
 
 
-def group_holdout(df: DataFrame, keys: list[str], entity: str, tag: str, fraction: float, attempts: int = 20) -> DataFrame:
-    """Hash holdout of a fraction of entities; per key the first attempt that leaves both classes on both sides."""
+def group_holdout(df: DataFrame, keys: list[str], entity: str, tag: str, fraction: float, attempts: int = 100) -> DataFrame:
+    """Hash holdout of a fraction of entities; per key the first attempt that leaves both classes on both sides.
+    A key for which no attempt does fails the job."""
     counts = df.groupBy(*keys, entity).agg(F.count_if(F.col("label") == 0).alias("n0"), F.count_if(F.col("label") == 1).alias("n1"))
     tries = counts.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1)))).withColumn(
         "held", unit(joined(":", F.lit(tag), "attempt", entity)) < fraction)
     sums = tries.groupBy(*keys, "attempt").agg(*[
         F.sum(F.when(F.col("held") == h, F.col(c)).otherwise(0)).alias(f"{c}_{int(h)}") for c in ("n0", "n1") for h in (True, False)])
     good = sums.filter("n0_0 > 0 and n0_1 > 0 and n1_0 > 0 and n1_1 > 0").groupBy(*keys).agg(F.min("attempt").alias("attempt"))
-    # one row per key of the design grid
-    return df.join(F.broadcast(good), keys).withColumn("held", unit(joined(":", F.lit(tag), "attempt", entity)) < fraction)
+    found = df.join(good, keys, "left").withColumn("attempt", F.coalesce("attempt", F.raise_error(F.lit(
+        f"no holdout of {attempts} draws leaves both classes on both sides of a run")).cast("int")))
+    return found.withColumn("held", unit(joined(":", F.lit(tag), "attempt", entity)) < fraction)
 
 
 def balanced_hash_sample(df: DataFrame, keys: list[str], size: int, tag: str, sample: str = "sample_id") -> DataFrame:

@@ -11,7 +11,7 @@ from ..functions.special import kolmogorov_p
 from ..operators import drift as D
 from ..operators import metrics as M
 from ..operators.cumulative import quantiles, spearman
-from .metrics_sql import AUC, score_ctes
+from .metrics_sql import AUC, RUN, score_ctes
 from .q_joins import FLONG, RUNS, long_features, runs
 from .q_metrics import K
 from .registry import query
@@ -212,12 +212,12 @@ def i13(spark, sf):
     return t.withColumn("rank", F.row_number().over(w)).filter("rank <= 5")
 
 
-@query("i14_orientation_audit", "SELECT dataset, model, count(*) AS runs, round(max(abs(roc_auc + inv - 1)), 6) + 0.0 AS max_identity_error, count(*) FILTER (WHERE roc_auc < 0.5) AS below_chance, count(*) FILTER (WHERE roc_auc < 0.4) AS strong_reversal FROM (SELECT *, 1 - roc_auc AS inv FROM runs) GROUP BY ALL", SCORED, RUNS)
+@query("i14_orientation_audit", f"""SELECT dataset, model, count(*) AS runs, round(max(abs(roc_auc + inv - 1)), 6) + 0.0 AS max_identity_error, count(*) FILTER (WHERE roc_auc < 0.5) AS below_chance, count(*) FILTER (WHERE roc_auc < 0.4) AS strong_reversal
+FROM runs JOIN (SELECT {RUN}, {AUC} AS inv FROM inv GROUP BY ALL) USING ({RUN}) GROUP BY ALL""", SCORED, RUNS + "," + score_ctes(name="inv", score="1 - p"))
 def i14(spark, sf):
-    s = M.score_table(fx.scored(spark, sf), K).groupBy(*K).agg(M.roc_auc().alias("a"), M.inverted_auc().alias("b"))
-    return s.groupBy("dataset", "model").agg(
-        F.count(F.lit(1)).alias("runs"), rnd(F.max(F.abs(F.col("a") + F.col("b") - 1)), 6).alias("max_identity_error"),
-        count_if(F.col("a") < 0.5).alias("below_chance"), count_if(F.col("a") < 0.4).alias("strong_reversal"))
+    return M.reversal_errors(fx.scored(spark, sf), K).groupBy("dataset", "model").agg(
+        F.count(F.lit(1)).alias("runs"), rnd(F.max("complement_error"), 6).alias("max_identity_error"),
+        count_if(F.col("roc_auc") < 0.5).alias("below_chance"), count_if(F.col("roc_auc") < 0.4).alias("strong_reversal"))
 
 
 _A16 = """ro AS (SELECT dataset, predictor, x, outcome, y FROM (SELECT dataset, repetition, model, fpr AS fpr_x, accuracy AS accuracy_x, roc_auc AS roc_auc_y, macro_f1 AS macro_f1_y FROM runs) UNPIVOT (x FOR predictor IN (fpr_x, accuracy_x)) UNPIVOT (y FOR outcome IN (roc_auc_y, macro_f1_y))),

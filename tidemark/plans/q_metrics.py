@@ -46,16 +46,15 @@ def h08(spark, sf):
 
 
 @query("h09_inverted_auc", f"""
-SELECT a.*, b.inverted_auc, c.negated_auc, round(abs(a.roc_auc + b.inverted_auc - 1), 6) + 0.0 AS complement_error, round(abs(b.inverted_auc - c.negated_auc), 6) + 0.0 AS negation_error
+SELECT a.*, b.inverted_auc, c.negated_auc, round(abs(a.roc_auc + b.inverted_auc - 1), 6) + 0.0 AS complement_error, round(abs(a.roc_auc + c.negated_auc - 1), 6) + 0.0 AS negation_error
 FROM (SELECT {RUN}, round({AUC}, 9) + 0.0 AS roc_auc FROM sc GROUP BY ALL) a
 JOIN (SELECT {RUN}, round({AUC}, 9) + 0.0 AS inverted_auc FROM inv GROUP BY ALL) b USING ({RUN})
 JOIN (SELECT {RUN}, round({AUC}, 9) + 0.0 AS negated_auc FROM ng GROUP BY ALL) c USING ({RUN})""",
        S, score_ctes() + "," + score_ctes(name="inv", score="1 - p") + "," + score_ctes(name="ng", score="-p"))
 def h09(spark, sf):
-    out = _scores(spark, sf).groupBy(*K).agg(rnd(M.roc_auc()).alias("roc_auc"), rnd(M.inverted_auc()).alias("inverted_auc"))
-    return out.withColumns({
-        "negated_auc": F.col("inverted_auc"),
-        "complement_error": rnd(F.abs(F.col("roc_auc") + F.col("inverted_auc") - 1), 6), "negation_error": F.lit(0.0)})
+    out = M.reversal_errors(fx.scored(spark, sf), K)
+    return out.select(*K, *[rnd(c).alias(c) for c in ("roc_auc", "inverted_auc", "negated_auc")],
+                      *[rnd(c, 6).alias(c) for c in ("complement_error", "negation_error")])
 
 
 @query("h10_pr_auc", f"SELECT {RUN}, round({PR}, 9) + 0.0 AS pr_auc FROM sc GROUP BY ALL", S, score_ctes())

@@ -23,31 +23,62 @@ def j01(spark, sf):
     return J.row_stratified(fx.urls(spark, sf).select("dataset", "source_row", "label"), ["dataset"], "source_row", F.lit("17"))
 
 
-def grouped(spark, sf, reps=2):
+CUTS = (7000, 8500)
+
+
+def placed_ctes(source, keys, unit, seed, cuts=CUTS, name="placed"):
+    """DuckDB text of the entity placement: ``name`` has the keys, unit and part of every entity of ``source``."""
+    k = ", ".join(keys)
+    part = " + ".join(f"CASE WHEN (2 * upto - w) * 10000 >= 2 * {c} * t THEN 1 ELSE 0 END" for c in cuts)
+    return f"""{name}_c AS (SELECT {k}, CAST({unit} AS VARCHAR) AS unit, count(*) FILTER (WHERE label = 0) AS n0, count(*) FILTER (WHERE label = 1) AS n1 FROM {source} GROUP BY ALL),
+{name}_k AS (SELECT *, n0 + n1 AS w, CASE WHEN n1 = 0 THEN 0 WHEN n0 = 0 THEN 1 ELSE 2 END AS kind, sha256({seed} || ':' || unit) AS h FROM {name}_c),
+{name}_t AS (SELECT *, sum(w) OVER (PARTITION BY {k}, kind) AS t FROM {name}_k),
+{name}_o AS (SELECT *, sum(w) OVER (PARTITION BY {k}, kind ORDER BY CASE WHEN w * 20 > t THEN -w ELSE 0 END, h ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM {name}_t),
+{name} AS (SELECT {k}, unit, {part} AS part FROM {name}_o)"""
+
+
+SPLIT_OF = "CASE part WHEN 0 THEN 'train' WHEN 1 THEN 'validation' ELSE 'test' END AS split"
+REPS = "rr AS (SELECT sample_id, dataset, host_id, entity, label, CAST(r AS INTEGER) AS repetition FROM fx_s, range(0, 10) AS t(r))"
+GROUPED = REPS + "," + placed_ctes("rr", ["dataset", "repetition"], "entity", "CAST(repetition AS VARCHAR)")
+GROUPED += f", grouped AS (SELECT rr.*, {SPLIT_OF} FROM rr JOIN placed p ON p.dataset = rr.dataset AND p.repetition = rr.repetition AND p.unit = CAST(rr.entity AS VARCHAR))"
+
+
+def grouped(spark, sf, reps=10):
     rows = fx.samples(spark, sf).select("sample_id", "dataset", "entity", "host_id", "label").withColumn(
         "repetition", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
     return J.grouped_split(rows, ["dataset", "repetition"], "entity", F.col("repetition"))
 
 
-@query("j02_group_disjoint_split")
+@query("j02_group_disjoint_split", """SELECT dataset, repetition, split, count(*) AS row_count, count(*) FILTER (WHERE label = 0) AS benign, count(*) FILTER (WHERE label = 1) AS phishing,
+ round(count(*) / CAST(sum(count(*)) OVER (PARTITION BY dataset, repetition) AS DOUBLE) - CASE split WHEN 'train' THEN 0.7 ELSE 0.15 END, 6) + 0.0 AS deviation FROM grouped GROUP BY dataset, repetition, split""", SCORED, GROUPED)
 def j02(spark, sf):
     return J.split_summary(grouped(spark, sf), ["dataset", "repetition"], ["entity"]).select(
         "dataset", "repetition", "split", "row_count", "benign", "phishing", rnd("deviation", 6).alias("deviation"))
 
 
-@query("j03_group_disjoint_check", "SELECT dataset, CAST(r AS INTEGER) AS repetition, count(DISTINCT entity) AS entities, CAST(1 AS BIGINT) AS max_parts, CAST(0 AS BIGINT) AS violations FROM fx_s, range(0, 2) AS t(r) GROUP BY ALL", SCORED)
+@query("j03_group_disjoint_check", "SELECT dataset, CAST(r AS INTEGER) AS repetition, count(DISTINCT entity) AS entities, CAST(1 AS BIGINT) AS max_parts, CAST(0 AS BIGINT) AS violations FROM fx_s, range(0, 10) AS t(r) GROUP BY ALL", SCORED)
 def j03(spark, sf):
     return C.membership_counts(grouped(spark, sf), ["dataset", "repetition"], "entity", "split")
 
 
-@query("j04_entity_regimes")
+_J04 = REPS + """, rowwise AS (SELECT dataset, 'row' AS regime, repetition, label, """ + SPLIT_CASE + """ AS split FROM (SELECT *, row_number() OVER (PARTITION BY dataset, repetition, label ORDER BY sha256(CAST(repetition AS VARCHAR) || ':' || sample_id), sample_id) AS r, count(*) OVER (PARTITION BY dataset, repetition, label) AS t FROM rr)),
+units AS (SELECT dataset, repetition, label, 'url' AS regime, 'url:' || sample_id AS u FROM rr UNION ALL SELECT dataset, repetition, label, 'host', 'host:' || CAST(host_id AS VARCHAR) FROM rr UNION ALL SELECT dataset, repetition, label, 'domain', 'domain:' || CAST(entity AS VARCHAR) FROM rr),
+""" + placed_ctes("units", ["dataset", "regime", "repetition"], "u", "CAST(repetition AS VARCHAR)")
+
+
+@query("j04_entity_regimes", f"""SELECT dataset, regime, repetition, split, count(*) AS row_count, CAST(sum(label) AS BIGINT) AS phishing FROM (SELECT * FROM rowwise UNION ALL
+ SELECT s.dataset, s.regime, s.repetition, s.label, {SPLIT_OF} FROM units s JOIN placed p ON p.dataset = s.dataset AND p.regime = s.regime AND p.repetition = s.repetition AND p.unit = s.u) GROUP BY dataset, regime, repetition, split""", SCORED, _J04)
 def j04(spark, sf):
-    """Ten repetitions under four entity regimes: row, URL (sample), host and domain (entity)."""
-    rows = fx.samples(spark, sf).select("sample_id", "dataset", "entity", "host_id", "label")
+    """Ten repetitions under four regimes: rows by label, then URL (sample), host and domain (entity) kept whole."""
+    rows = fx.samples(spark, sf).select("sample_id", "dataset", "entity", "host_id", "label").withColumn(
+        "repetition", F.explode(F.sequence(F.lit(0), F.lit(9))))
     e = F.array(*[F.struct(F.lit(n).alias("regime"), joined(":", F.lit(n), c).alias("unit")) for n, c in
-                  (("row", "sample_id"), ("url", "sample_id"), ("host", "host_id"), ("domain", "entity"))])
-    long = rows.select("*", F.inline(e)).withColumn("repetition", F.explode(F.sequence(F.lit(0), F.lit(9))))
-    out = J.grouped_split(long, ["dataset", "regime", "repetition"], "unit", F.col("repetition"))
+                  (("url", "sample_id"), ("host", "host_id"), ("domain", "entity"))])
+    long = rows.select("sample_id", "dataset", "repetition", "label", F.inline(e))
+    whole = J.grouped_split(long, ["dataset", "regime", "repetition"], "unit", F.col("repetition"))
+    by_row = J.row_stratified(rows, ["dataset", "repetition"], "sample_id", F.col("repetition")).withColumn("regime", F.lit("row"))
+    cols = ["dataset", "regime", "repetition", "split", "label"]
+    out = whole.select(*cols).unionByName(by_row.select(*cols))
     return out.groupBy("dataset", "regime", "repetition", "split").agg(F.count(F.lit(1)).alias("row_count"), F.sum("label").alias("phishing"))
 
 
@@ -190,7 +221,12 @@ def j17(spark, sf):
     return J.balanced_hash_sample(fx.urls(spark, sf).select("dataset", "label", "source_row"), ["dataset"], 20, "review", "source_row")
 
 
-@query("j18_inner_resplits")
+_J18 = _BASE + ", inner_rows AS (SELECT dataset, entity, label, CAST(r AS INTEGER) AS inner_repetition FROM fx1, range(0, 10) AS t(r) WHERE split = 'train' AND repetition = 0)," + placed_ctes(
+    "inner_rows", ["dataset", "inner_repetition"], "entity", "'inner' || CAST(inner_repetition AS VARCHAR)")
+
+
+@query("j18_inner_resplits", f"""SELECT s.dataset, s.inner_repetition, {SPLIT_OF}, count(*) AS row_count, CAST(sum(label) AS BIGINT) AS phishing
+FROM inner_rows s JOIN placed p ON p.dataset = s.dataset AND p.inner_repetition = s.inner_repetition AND p.unit = CAST(s.entity AS VARCHAR) GROUP BY ALL""", SCORED, _J18)
 def j18(spark, sf):
     outer = one_model(spark, sf).filter("split = 'train' and repetition = 0").select("sample_id", "dataset", "entity", "label", F.col("repetition"))
     rows = outer.withColumn("inner_repetition", F.explode(F.sequence(F.lit(0), F.lit(9))))

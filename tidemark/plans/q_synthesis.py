@@ -22,7 +22,7 @@ from .q_inference import DL, GK, boot_cte, deltas
 from .q_joins import _LONG, FLONG, RUNS, fingerprint, long_features, long_runs, runs
 from .q_metrics import _EXT, _VAL, K, apply_thresholds, external_primary, frozen
 from .q_ranking import AB_CTE, ATTR, CMP, CS, RS, SM, pair_cte
-from .q_splits import J01_SQL
+from .q_splits import J01_SQL, REPS, SPLIT_OF, placed_ctes
 from .registry import ORACLES, QUERIES, query
 from .urls_sql import FEATURE_SQL
 
@@ -276,10 +276,17 @@ def r14(spark, sf):
     return j.groupBy("dataset").agg(F.count(F.lit(1)).alias("row_count"), count_if(~F.col("split").eqNullSafe(F.col("stored"))).alias("mismatches"))
 
 
-@query("r15_third_source_splits")
+_R15 = REPS + "," + placed_ctes("rr", ["repetition"], "entity", "CAST(repetition AS VARCHAR)") + f""",
+third AS (SELECT rr.repetition, rr.entity, rr.label, {SPLIT_OF} FROM rr JOIN placed p ON p.repetition = rr.repetition AND p.unit = CAST(rr.entity AS VARCHAR)),
+tsum AS (SELECT repetition, split, count(*) AS row_count, count(*) FILTER (WHERE label = 0) AS benign, count(*) FILTER (WHERE label = 1) AS phishing, count(DISTINCT entity) AS distinct_entity, count(*) / CAST(sum(count(*)) OVER (PARTITION BY repetition) AS DOUBLE) AS share FROM third GROUP BY repetition, split)"""
+
+
+@query("r15_third_source_splits", """SELECT 'third' AS dataset, repetition, split, row_count, benign, phishing, distinct_entity, round(share, 9) + 0.0 AS fraction, round(share - CASE split WHEN 'train' THEN 0.7 ELSE 0.15 END, 9) + 0.0 AS deviation,
+ round(phishing / CAST(row_count AS DOUBLE), 9) + 0.0 AS prevalence, benign > 0 AND phishing > 0 AS both_classes FROM tsum""", ("scored",), _R15)
 def r15(spark, sf):
-    rows = fx.samples(spark, sf).select("sample_id", "entity", "label", F.lit("third").alias("dataset")).withColumn("repetition", F.explode(F.sequence(F.lit(0), F.lit(2))))
+    rows = fx.samples(spark, sf).select("sample_id", "entity", "label", F.lit("third").alias("dataset")).withColumn("repetition", F.explode(F.sequence(F.lit(0), F.lit(9))))
     out = J.split_summary(J.grouped_split(rows, ["dataset", "repetition"], "entity", F.col("repetition")), ["dataset", "repetition"], ["entity"])
+    out = out.withColumns({c: rnd(c) for c in ("fraction", "deviation", "prevalence")})
     return out.withColumn("both_classes", (F.col("benign") > 0) & (F.col("phishing") > 0))
 
 
