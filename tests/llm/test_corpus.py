@@ -5,7 +5,7 @@ import hashlib
 import random
 import re
 from collections import defaultdict
-from itertools import combinations
+from itertools import combinations, groupby
 
 import pytest
 import xxhash
@@ -168,6 +168,41 @@ def test_planted_passages_are_found_and_clean_texts_left_alone(spark):
         assert r.matched == subsequence(a, b) and r.similarity == pytest.approx(r.matched / max(len(a), len(b)))
 
 
+def ties(rows):
+    """Sets of doc_ids that rows of passages tie together."""
+    root = {}
+
+    def find(i):
+        while root.setdefault(i, i) != i:
+            i = root[i]
+        return i
+    for r in rows:
+        root[find(r.doc_id)] = find(r.other_id)
+    return find
+
+
+def test_fuzzy_passages_at_the_limit_are_found(spark):
+    """Substituted words at 0.8 to 0.9 likeness, alone and beside a chance string, against brute force."""
+    rng = random.Random(11)
+    rows, near = [], []
+    for i in range(120):
+        size, edits = [(50, 5), (50, 8), (60, 10), (60, 12), (40, 0), (80, 16)][i % 6]
+        passage = [f"q{i}_{j}" for j in range(size)]
+        edited = list(passage)
+        for j in rng.sample(range(1, size - 1), edits):
+            edited[j] = f"e{i}_{j}"
+        runs = [len(list(g)) for same, g in groupby(a == b for a, b in zip(passage, edited)) if same]
+        stray = [f"c{i}_{j}" for j in range(6)] if i % 2 else []
+        for half, words in enumerate((passage, edited)):
+            tail = prose(rng, 15, 10**6).split() + stray
+            rows.append((2 * i + half, " ".join([prose(rng, 60, 10**6), *words, *tail, prose(rng, 60, 10**6)])))
+        if subsequence(passage, edited) >= 0.8 * size and sum(max(0, n - 4) for n in runs) > 1:
+            near.append(i)
+    find = ties(fuzzy_passages(frame(spark, rows)).collect())
+    lost = [i for i in near if find(2 * i) != find(2 * i + 1)]
+    assert len(near) > 100 and len(lost) <= len(near) // 50, lost
+
+
 # --- fingerprints, tokens, mix
 
 def test_fingerprints_of_equal_and_edited_texts(spark):
