@@ -203,6 +203,29 @@ def test_fuzzy_passages_at_the_limit_are_found(spark):
     assert len(near) > 100 and len(lost) <= len(near) // 50, lost
 
 
+def test_passages_of_sentences_that_stand_singly_elsewhere_are_found(spark):
+    rng = random.Random(12)
+    rows, pairs = [], []
+
+    def add(*parts):
+        rows.append((len(rows), " ".join([prose(rng, 50, 10**6), *parts, prose(rng, 50, 10**6)])))
+        return len(rows) - 1
+    for i in range(40):
+        sentences = [" ".join(f"t{i}_{n}_{j}" for j in range(30)) for n in range(2 + i % 2)]
+        pairs.append((add(*sentences), add(*sentences)))
+        for sentence in sentences:
+            for _ in range(6):
+                add(sentence)
+    for i in range(20):  # alike at 0.9, each under 0.8 to other texts
+        words = [f"u{i}_{j}" for j in range(60)]
+        edited = [w if j % 11 else f"v{i}_{j}" for j, w in enumerate(words)]
+        pairs.append((add(*words), add(*edited)))
+        for _ in range(5):
+            add(*(w if j % 20 > 6 else f"x{rng.random()}" for j, w in enumerate(words)))
+    find = ties(fuzzy_passages(frame(spark, rows)).collect())
+    assert [p for p in pairs if find(p[0]) != find(p[1])] == []
+
+
 # --- fingerprints, tokens, mix
 
 def test_fingerprints_of_equal_and_edited_texts(spark):
