@@ -12,7 +12,7 @@ import xxhash
 
 from tidemark.llm.op01_feistel import Feistel, Pseudonyms, luhn, pseudonymise
 from tidemark.llm.op02_chaining import K, chains, common_words, fuzzy_passages
-from tidemark.llm.op03_style_tree import extract
+from tidemark.llm.op03_style_tree import extract, main_text
 from tidemark.llm.op04_merkle import merkle
 from tidemark.llm.op05_bpe import default_vocabulary, encode
 from tidemark.llm.op06_toxicity import score
@@ -87,6 +87,19 @@ def test_extract_edge_pages(spark):
     assert extract(spark.createDataFrame(rows, schema).limit(0)).count() == 0
 
 
+def test_role_words_drop_whole_roles_only():
+    for tag, attrs in [("article", "class='post no-sidebar'"), ("main", "class='with-sidebar'"), ("div", "class='content comments-open'"),
+                       ("div", "class='col hidden-xs'"), ("section", "id='advertising-history'"), ("article", "class='search'")]:
+        assert main_text(f"<body><{tag} {attrs}><p>Story.</p></{tag}></body>", {}) == "Story."
+    assert main_text("<body><div class='overlay'><p>Lead.</p><main><p>Story.</p></main></div></body>", {}).endswith("Story.")
+    kept = "<h2 id='related-work'>A</h2><h3 id='hidden-markov-models'>B</h3><p id='share-price'>C</p><h2 id='search'>D</h2>"
+    assert main_text(f"<body><article>{kept}</article></body>", {}) == "A\nB\nC\nD"
+    inline = "<p>one <span class=ad>buy</span><button>click</button><noscript>no</noscript>two</p>"
+    assert main_text(f"<body><article>{inline}</article></body>", {}) == "one two"
+    other = "<article><p>Story.</p></article><div class='comments'><article class='comment'><p>First!</p></article></div><div class=ad>x</div>"
+    assert main_text(f"<body>{other}</body>", {}) == "Story."
+
+
 # --- pseudonyms
 
 def test_feistel_permutes_its_domain():

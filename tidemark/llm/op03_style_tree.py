@@ -40,12 +40,14 @@ CLOSES_P = BLOCK - {"body", "html", "caption", "legend", "option", "optgroup", "
 NEVER = frozenset("head title script style noscript template iframe object svg math canvas audio video nav footer aside form button "
                   "select textarea dialog menu".split())
 CONTENT = frozenset(["article", "main"])
-#: Words of class, id and role attributes that mark a branch as boilerplate.
+#: Values of class, id and role attributes that mark a branch as boilerplate.
 ROLES = frozenset("ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent "
                   "gdpr notice notices popup modal overlay newsletter subscribe subscription signup login sidebar sidebars menu menus "
                   "navbar nav navigation breadcrumb breadcrumbs pagination pager toolbar masthead header footer colophon comment "
                   "comments disqus respond replies reply share sharing social related recommended widget widgets search alert toast "
                   "complementary contentinfo dialog hidden skip copyright".split())
+#: Containers whose ids can name a role; other ids are made from headings.
+NAMED = frozenset("div ul ol table span".split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
             "option": {"option"}}
 HOLDS = frozenset("ul ol dl table select tbody thead tfoot".split())
@@ -54,25 +56,33 @@ HOLDS = frozenset("ul ol dl table select tbody thead tfoot".split())
 class Page(HTMLParser):
     """Blocks of a page as (branch, state, text), and the child tags of every branch.
 
-    ``state``: "keep" inside an article, "drop" under a boilerplate role, "open" where the style tree decides.
+    ``state``: "keep" inside an article, "drop" under a boilerplate role, "open" elsewhere.
+
+    A role is a whole class, role or (of plain containers) id.  One that holds an article or main, or is one, counts
+    only where the page has another of these outside such roles: comments and teasers are articles too.
     """
 
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
-        self.stack = [("", "", "open", False)]  # tag, branch, state, inside an article
-        self.blocks: list[tuple[str, str, str]] = []
+        self.stack = [("", "", "open", False, ())]  # tag, branch, state, inside an article, roles around it
+        self.found: list[tuple[str, str, str, tuple]] = []
+        self.roles = 0
+        self.doubtful: set[int] = set()  # roles that hold an article or main
+        self.plain = False  # one stands outside all roles
         self.styles: dict[str, list[str]] = {}
         self.parts: list[str] = []
         self.feed(html)
         self.close()
         self._end_block()
+        lifted = set() if self.plain else self.doubtful
+        self.blocks = [(branch, "drop" if set(roles) - lifted else state, text) for branch, state, text, roles in self.found]
 
     def _end_block(self) -> None:
         text = " ".join("".join(self.parts).split())
         self.parts = []
         if text:
-            _, branch, state, _ = self._holder()
-            self.blocks.append((branch, state, text))
+            _, branch, state, _, roles = self._holder()
+            self.found.append((branch, state, text, roles))
 
     def _holder(self):
         """The innermost open block element: its branch stands for the text, whatever inline tags lie between."""
@@ -108,8 +118,8 @@ class Page(HTMLParser):
         if tag in VOID:
             return
         known = dict(attrs)
-        words = re.findall(r"[a-z]+", " ".join(str(known.get(k) or "") for k in ("class", "id", "role")).lower())
-        _, parent, state, inside = self.stack[-1]
+        words = " ".join(str(known.get(k) or "") for k in ("class", "role", *(["id"] if tag in NAMED else []))).lower().split()
+        _, parent, state, inside, roles = self.stack[-1]
         name = ".".join([tag, *sorted({w for w in str(known.get("class") or "").lower().split()})])
         branch = f"{parent}/{name}" if tag in BLOCK or tag in NEVER else parent
         if branch != parent:
@@ -117,13 +127,19 @@ class Page(HTMLParser):
             if not children or children[-1] != name:
                 children.append(name)
         hidden = "hidden" in known or known.get("aria-hidden") == "true" or "display:none" in str(known.get("style") or "").replace(" ", "")
-        if tag in NEVER or hidden or tag == "header" and not inside or tag != "body" and tag != "html" and ROLES.intersection(words):
+        role = tag not in ("body", "html") and bool(ROLES.intersection(words))
+        if tag in NEVER or hidden or tag == "header" and not inside or role and tag not in BLOCK:
             state = "drop"
-        elif state != "drop" and tag in CONTENT:
+        elif role:
+            self.roles += 1
+            roles = (*roles, self.roles)
+        if state != "drop" and tag in CONTENT:
             state, inside = "keep", True
-        elif state == "keep" and words and tag in BLOCK:
-            state = "open"  # a classed part of an article: the style tree decides
-        self.stack.append((tag, branch, state, inside))
+            self.doubtful.update(roles)
+            self.plain |= not roles
+        elif state == "keep" and known.keys() & {"class", "id", "role"} and tag in BLOCK:
+            state = "open"  # a classed part of an article
+        self.stack.append((tag, branch, state, inside, roles))
 
     def handle_startendtag(self, tag: str, attrs) -> None:
         self.handle_starttag(tag, attrs)
@@ -139,7 +155,7 @@ class Page(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
-        if self.stack[-1][2] != "drop" or self.stack[-1][0] not in ("script", "style"):
+        if self.stack[-1][2] != "drop":
             self.parts.append(data)
 
     def unknown_decl(self, data: str) -> None:
