@@ -100,6 +100,29 @@ def test_role_words_drop_whole_roles_only():
     assert main_text(f"<body>{other}</body>", {}) == "Story."
 
 
+def test_importance_decides_beside_and_inside_articles(spark):
+    rng = random.Random(13)
+    rows, want = [], {}
+    teasers = [f"<article class='card'><p>Teaser {i} of the shop.</p></article>" for i in range(3)]
+
+    def add(host, body, text):
+        want[len(rows)] = text
+        rows.append((len(rows), f"http://{host}/{len(rows)}", f"<html><body>{body}</body></html>"))
+    for i in range(12):
+        one, two, title = (prose(rng, n) for n in (40, 40, 5))
+        # the story in a div, cards marked as articles
+        add("teasers", f"<div class='story'><h1>{title}</h1><p>{one}</p></div>{''.join(teasers)}", f"{title}\n{one}")
+        # title and lead before the article, one line that every page repeats inside it
+        add("leads", f"<header><div class='logo'>Our paper</div><h1>{title}</h1></header><div class='lead'>{two}</div>"
+            f"<article><p>{one}</p><blockquote>Read our terms.</blockquote></article><div class='bottom'>All rights reserved</div>",
+            f"{title}\n{two}\n{one}")
+    one, title = prose(rng, 40), prose(rng, 5)  # hosts of one page
+    add("alone", f"<h1>{title}</h1><div>Menu</div><article><p>{one}</p></article>", f"{title}\n{one}")
+    add("single", f"<div class='story'><p>{one}</p></div><article class='card'><p>Teaser</p></article>", f"{one}\nTeaser")
+    out = extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in out} == want
+
+
 # --- pseudonyms
 
 def test_feistel_permutes_its_domain():

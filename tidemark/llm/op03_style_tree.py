@@ -4,9 +4,11 @@ The DOMs of a host's pages are merged branch by branch: a branch is the chain of
 body.  A branch carries the number of pages that have it, its presentation styles (sequences of child tags) and
 its content features (texts of the blocks below).  Its importance joins the entropy of the styles and the
 entropy of the features over the pages: what a host repeats alike on every page has none.  From each page the
-branches of low importance go.  Few pages of a host or random filler leave entropy blind (a menu whose words
-differ on each page looks important), so semantic roles bound it: branches of a navigation, footer, sidebar,
-form, advert, notice or comment role have importance zero, and plain paragraphs of an article keep theirs.
+branches of low importance go, inside an article as well.  Article and main are a prior: a branch inside needs
+less importance to stay and one beside it more.  Random filler (a menu whose words differ on each page looks
+important) is beyond entropy, so branches of a navigation, footer, sidebar, form, advert, notice or comment role
+have importance zero.  Where a host has fewer than ``PAGES`` pages of a branch, what stands beside an article
+stays only if it is an h1 or longer in all than what stands inside, and a page header goes but for its h1.
 
 The style tree is a grouped count with one row per host, branch and feature, so a host with a third of all
 pages combines in the map tasks.  Pages meet their host's low branches through a salted join; html travels
@@ -28,6 +30,7 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, packed, save, unpack
 
 LOW = 0.2  # importance below which a branch goes
+PRIOR = {"keep": 0.75, "open": 1.0, "beside": 2.0}  # factors on it: inside an article, without one, beside one
 PAGES = 3  # pages a host must have of a branch before entropy speaks
 GAMMA = 0.9  # weight of content against presentation
 SALTS = 64
@@ -128,7 +131,7 @@ class Page(HTMLParser):
                 children.append(name)
         hidden = "hidden" in known or known.get("aria-hidden") == "true" or "display:none" in str(known.get("style") or "").replace(" ", "")
         role = tag not in ("body", "html") and bool(ROLES.intersection(words))
-        if tag in NEVER or hidden or tag == "header" and not inside or role and tag not in BLOCK:
+        if tag in NEVER or hidden or role and tag not in BLOCK:
             state = "drop"
         elif role:
             self.roles += 1
@@ -207,31 +210,35 @@ def importance(pages: DataFrame) -> DataFrame:
     return tree.select("host", "branch", F.col("m").cast("long").alias("pages"), F.coalesce(value, F.lit(1.0)).alias("importance"))
 
 
-def main_text(html: str | None, low: frozenset) -> str:
-    """The page without boilerplate roles and without branches of low importance."""
+def main_text(html: str | None, tree: dict[str, float], low: float = LOW) -> str:
+    """The page without boilerplate roles and branches of low importance; ``tree`` has those that the host has enough pages of."""
     page = Page(html or "")
-    article = any(state == "keep" for _, state, _ in page.blocks)
-    inside = tuple(f"/{t}" for t in CONTENT)
+    blocks = [b for b in page.blocks if b[1] != "drop"]
+    holds = re.compile(rf"/(?:{'|'.join(sorted(CONTENT))})(?=[./]|$)")
+    within = [bool(holds.search(branch)) for branch, _, _ in blocks]
+    size = [sum(len(b[2]) for b, w in zip(blocks, within) if w == side) for side in (True, False)]
     kept = []
-    for branch, state, text in page.blocks:
-        if state == "drop":
+    for (branch, state, text), inside in zip(blocks, within):
+        beside = any(within) and not inside
+        parts = branch.split("/")
+        masthead = not inside and any(p.split(".")[0] == "header" for p in parts)
+        if branch not in tree and parts[-1].split(".")[0] != "h1" and (masthead or beside and size[0] >= size[1]):
+            continue
+        least = low * PRIOR["beside" if beside else state]
+        if tree.get(branch, 1.0) < least or any(tree.get("/".join(parts[:i]), 1.0) < min(low, least) for i in range(2, len(parts))):
             continue
-        if state == "open":
-            parts = branch.split("/")
-            if any("/".join(parts[:i]) in low for i in range(2, len(parts) + 1)):
-                continue
-            if article and not any(f"{t}/" in branch + "/" or f"{t}." in branch for t in inside):
-                continue  # beside the article
         kept.append(text)
     return "\n".join(kept)
 
 
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = [main_text(unpack(b).decode("utf-8", "replace"), frozenset(low or ()))
-                 for b, low in zip(batch.column("blob").to_pylist(), batch.column("low").to_pylist())]
-        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()),
-                                          pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+def _extracted(low: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [main_text(unpack(b).decode("utf-8", "replace"), {e["branch"]: e["importance"] for e in tree or ()}, low)
+                     for b, tree in zip(batch.column("blob").to_pylist(), batch.column("tree").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()),
+                                              pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+    return run
 
 
 def extract(pages: DataFrame, low: float = LOW, least_pages: int = PAGES) -> DataFrame:
@@ -240,10 +247,10 @@ def extract(pages: DataFrame, low: float = LOW, least_pages: int = PAGES) -> Dat
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
     sited = pages.select("page_id", "url", host.alias("host"), F.coalesce("html", F.lit("")).alias("text"))
     tree = save(importance(sited), "op03-tree")
-    noise = tree.filter((F.col("importance") < low) & (F.col("pages") >= least_pages)).groupBy("host").agg(
-        F.collect_list("branch").alias("low"))  # branches of one host: its templates, not its pages
+    known = tree.filter(F.col("pages") >= least_pages).groupBy("host").agg(
+        F.collect_list(F.struct("branch", "importance")).alias("tree"))  # branches of one host: its templates, not its pages
     salted = packed(sited.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS))))
-    spread = noise.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    joined = salted.join(spread, ["host", "salt"], "left").select("page_id", "url", "blob", "low")
+    spread = known.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    joined = salted.join(spread, ["host", "salt"], "left").select("page_id", "url", "blob", "tree")
     kind = pages.schema["page_id"].dataType.simpleString()
-    return joined.mapInArrow(_extract, f"page_id {kind}, url string, text string, n_chars long")
+    return joined.mapInArrow(_extracted(low), f"page_id {kind}, url string, text string, n_chars long")
