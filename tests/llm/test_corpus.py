@@ -142,6 +142,32 @@ def test_pseudonyms_link_validate_and_invert(spark):
     assert [f.kind for f in three.found] == ["account"] and Pseudonyms(forward=False).text(one.text)[0] == text
 
 
+def test_values_beside_other_text_are_found_and_linked():
+    names, back = Pseudonyms(), Pseudonyms(forward=False)
+
+    def found(text):
+        new, finds = names.text(text)
+        assert back.text(new)[0] == text
+        return [(k, text[a:b]) for k, a, b, _ in finds], [re.sub(r"[^0-9A-Z]", "", n) for *_, n in finds]
+    iban, card = "ES91 2100 0418 4502 0005 1332", "4111 1111 1111 1111"
+    assert found(f"{iban} EUR")[0] == [("iban", iban)] and found(f"{iban} EUR")[1] == found(iban)[1] == found(iban.replace(" ", ""))[1]
+    for text in (f"ID42 {card}", f"{card} 12/27", f"{card} 123", f"{card} 1234", card.replace(" ", "") + " 123", f"{card} EUR"):
+        kinds, new = found(text)
+        assert [k for k, _ in kinds] == ["card"] and new == found(card)[1], text
+    assert [k for k, _ in found("3782 822463 10005 1234")[0]] == ["card"]
+    phones = ["+14155552671", "+1 415 555 2671", "+1 (415) 555-2671", "+1 415 555 2671 12", "+1 415 555 2671 2024-02-29"]
+    assert len({found(p)[1][0] for p in phones}) == 1
+    for text in ("+49 170 1234567", "+33 1 23 45 67 89", "+44 (0)20 7946 0958", "+4917012345678"):
+        assert found(f"call {text}, please")[0] == [("phone", text)]
+    for text in ("31/12/2024", "13/1/1999", "12/31/2024", "2024-12-31", "31.12.2024", "1/2/2024"):
+        assert found(f"on {text}.")[0] == [("date", text)]
+    one, two = (names.text(t)[1][0][3] for t in ("31/12/2024", "2024-12-31"))
+    assert one.split("/") == two.split("-")[::-1]
+    rng = random.Random(14)
+    for _ in range(300):
+        found("".join(rng.choice("0123456789") + rng.choice(["", "", " "]) for _ in range(rng.randrange(13, 18))))
+
+
 # --- fuzzy passages
 
 def subsequence(a, b):
