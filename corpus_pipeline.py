@@ -19,12 +19,16 @@ from tidemark.llm.op08_exact import exact_groups
 from tidemark.llm.op10_simhash import near_groups
 
 
-def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id (null included) is in ``ids``, repeated rows once.  Different texts that
-    share a doc_id stay or go together."""
-    ids = ids.select(F.col("doc_id").alias("_id"))
-    kept = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return kept.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).select(docs.columns)
+def _numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``docs`` with a saved number ``_row``, and (doc_id, text) whose doc_id also holds that number: decisions are a row's own."""
+    rows = save(docs.withColumn("_row", F.monotonically_increasing_id()), "pipeline-rows")
+    return rows, rows.select(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_row").alias("row"))
+                             .alias("doc_id"), "text")
+
+
+def _keep(rows: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows whose ``_row`` is in ``kept``."""
+    return rows.join(kept.select(F.col("doc_id.row").alias("_row")), "_row", "left_semi").drop("_row")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,12 +39,14 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the longest row of each group of equal texts."""
-    return _keep(docs, exact_groups(docs).filter("kept").select("doc_id"))
+    rows, named = _numbered(docs)
+    return _keep(rows, exact_groups(named).filter("kept")).select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each component of near copies."""
-    return _keep(docs, near_groups(docs).select(F.col("component_id").alias("doc_id")).distinct())
+    """Keeps one row of each component of near copies, the one of smallest doc_id (null last)."""
+    rows, named = _numbered(docs)
+    return _keep(rows, near_groups(named).filter("doc_id.row = component_id.row")).select(docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -456,6 +456,22 @@ def test_pipeline_stages_keep_columns_and_decisions(spark):
     assert p.STAGES[-1][1](spark, docs, sf).count() == docs.count()
 
 
+def test_dedup_decides_row_by_row(spark):
+    """Null and shared ids: each text once, whatever ids its copies have."""
+    import corpus_pipeline as p
+
+    rng = random.Random(15)
+    texts = [prose(rng, 80) for _ in range(6)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, t.replace(" ", "\n")) for t in texts] + [(None, t) for t in texts]
+    rows += [(None, prose(rng, 80)), (7, prose(rng, 80)), (7, texts[0])]
+    df = frame(spark, rows)
+    out = p.exact_dedup(spark, df, "").collect()
+    assert len(out) == 8 and len({r.text.replace("\n", " ") for r in out}) == 8
+    assert {r.doc_id for r in out} == {*range(6), 7, None}
+    out = p.near_dedup(spark, df, "").collect()
+    assert len(out) == 8 and len({r.text.replace("\n", " ") for r in out}) == 8
+
+
 def test_registered_queries():
     import __spark_entry__ as e
 
