@@ -394,6 +394,25 @@ def test_removed_bytes_match_brute_force(spark, seed):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out} == dict(repeats(rows, 40))
 
 
+def test_repeated_rows_bring_each_range_once(spark, monkeypatch):
+    import tidemark.llm.op09_suffix as op09
+
+    def counted(length, with_text):
+        def run(batches):
+            import pyarrow as pa
+            for batch in batches:
+                ranges = [[(r["first"], r["last"]) for r in found or ()] for found in batch.column("ranges").to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id"), pa.array([len(r) for r in ranges], pa.int64()), pa.array([len(set(r)) for r in ranges], pa.int64()),
+                     pa.array([0] * len(ranges), pa.int64()), pa.array([""] * len(ranges))],
+                    ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        return run
+    monkeypatch.setattr(op09, "_cut_batches", counted)
+    text = prose(random.Random(16), 60)
+    out = op09.remove_repeats(frame(spark, [(None, text)] * 30), length=40, seed=10).collect()
+    assert len(out) == 30 and all(r.n_bytes == r.n_removed > 0 for r in out)
+
+
 def plain_fingerprint(text):
     words = [w for w in SPACE.split(re.sub("[A-Z]", lambda m: m.group().lower(), text or "")) if w]
     if not words:

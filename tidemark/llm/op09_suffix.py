@@ -274,7 +274,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, batc
     twice = contexts.filter("n > 1").select("key", "context", F.lit(True).alias("twice"))
     whole = attach(mixed, twice, ["key", "context"], ["rid", "first"]).filter("twice").select("rid", "first", "last")
     alike = shared.filter("not several").select("rid", "first", "last")
-    ranges = partial.union(whole).union(alike).groupBy("rid").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
+    ranges = partial.union(whole).union(alike).groupBy("rid").agg(F.collect_set(F.struct("first", "last")).alias("ranges"))  # repeated rows share a rid
     kind = docs.schema["doc_id"].dataType.simpleString()
     fields = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
     return texts.join(ranges, "rid", "left").select("doc_id", "blob", "ranges").mapInArrow(_cut_batches(length, with_text), fields)
