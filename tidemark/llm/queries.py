@@ -17,6 +17,12 @@ from .op07_mixing import source_mix
 from .op08_exact import exact_groups
 from .op09_suffix import remove_repeats
 from .op10_simhash import near_groups
+from .op11_repair import SQL as OP11_SQL
+from .op11_repair import damage, repair
+from .op12_link_trust import SQL as OP12_SQL
+from .op12_link_trust import judge
+from .op13_spelling import SQL as OP13_SQL
+from .op13_spelling import spelling_forms
 
 OP8_SQL = r"""
 WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS chars,
@@ -69,6 +75,19 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"))
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return repair(conversations, damage(conversations))
+
+
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_forms(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_feistel_pseudonyms": op1,
     "op2_collinear_chains": op2,
@@ -80,5 +99,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8,
     "op9_suffix_levels": op9,
     "op10_simhash_positions": op10,
+    "op11_conversation_repair": op11,
+    "op12_link_trust": op12,
+    "op13_spelling_forms": op13,
 }
-ORACLES: dict[str, str] = {"op8_exact_dedup": OP8_SQL}
+ORACLES: dict[str, str] = {"op8_exact_dedup": OP8_SQL, "op11_conversation_repair": OP11_SQL, "op12_link_trust": OP12_SQL,
+                           "op13_spelling_forms": OP13_SQL}
