@@ -11,7 +11,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 import harness  # noqa: E402
 
-from tidemark import plans  # noqa: E402
+import __spark_entry__ as registered  # noqa: E402
 from tidemark.session import local_session  # noqa: E402
 
 ap = argparse.ArgumentParser()
@@ -20,7 +20,7 @@ ap.add_argument("--sf", default="0.01")
 a = ap.parse_args()
 sf = f"/root/testdata/sf{a.sf}"
 spark, con = local_session(), harness.duck(sf)
-qs, os_ = plans.queries(), plans.oracles()
+qs, os_ = registered.queries(), registered.oracle_sql()
 bad, start = 0, time.time()
 for name in sorted(qs):
     if a.prefix and not any(name.startswith(p) for p in a.prefix):
