@@ -1,23 +1,27 @@
-"""Model training and scoring with pyspark.ml (M).
+"""Model training, tuning and scoring for a whole design grid (M).
 
-Each fit is one distributed MLlib job; the driver holds model objects and one metric row per candidate.
-Regularisation maps as regParam = 1 / (C * rows).  MLlib caps tree depth at 30.
+A design is one fit: a family, a candidate's parameters, features and a seed.  Rows say in an array column which designs
+train on them, so all repetitions, folds, feature sets and candidates of a study are fitted together: the logistic ones
+by shared Newton steps (``logit``), the ensembles by shared histogram levels (``trees``).  Scoring is one pass over the
+rows for all models, and tuning one grouped metric job over all candidates.
 """
 
 from __future__ import annotations
 
 import json
-import time
-
-from pyspark.errors import IllegalArgumentException
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+import pickle
+from collections.abc import Iterator
+from dataclasses import dataclass, field
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import scratch
 from . import metrics as M
+from .logit import Linear, fit_logistic, matrix, membership
+from .trees import LOCAL_BYTES, Ensemble, Tree, fit_trees
 
 # Three candidates per family.
 GRID = {
@@ -25,149 +29,236 @@ GRID = {
            ("lr_c1_balanced", {"C": 1.0, "iterations": 2000, "balanced": True})],
     "rf": [("rf_depth16_leaf1", {"trees": 200, "depth": 16, "leaf": 1, "balanced": False}),
            ("rf_depth24_leaf2", {"trees": 200, "depth": 24, "leaf": 2, "balanced": False}),
-           ("rf_unlimited_leaf5_balanced", {"trees": 200, "depth": 30, "leaf": 5, "balanced": True})],
+           ("rf_unlimited_leaf5_balanced", {"trees": 200, "depth": 1_000_000, "leaf": 5, "balanced": True})],
     "boosted": [("boosted_d4_lr005", {"trees": 300, "depth": 4, "rate": 0.05, "balanced": False}),
                 ("boosted_d6_lr005", {"trees": 250, "depth": 6, "rate": 0.05, "balanced": False}),
                 ("boosted_d6_lr01_balanced", {"trees": 200, "depth": 6, "rate": 0.10, "balanced": True})],
 }
+MODEL_BYTES = 128 << 20  # models of one scoring pass
+SHARD_BYTES = 1 << 20
 
 
-def candidate_grid(family: str, **override) -> list[tuple[str, dict]]:
-    return [(n, {**p, **{k: v for k, v in override.items() if k in p}}) for n, p in GRID[family]]
-
-
-def class_counts(train: DataFrame) -> tuple[int, int]:
-    row = train.agg(F.count_if(F.col("label") == 0).alias("n"), F.count_if(F.col("label") == 1).alias("p")).first()
-    return row.n, row.p
-
-
-def _logistic(p: dict, rows: int, seed: int) -> list:
-    return [StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True),
-            LogisticRegression(featuresCol="scaled", weightCol="_w", maxIter=p["iterations"], regParam=1.0 / (p["C"] * max(rows, 1)),
-                               standardization=False)]
+@dataclass(frozen=True)
+class Design:
+    """One fit.  ``run`` names what shares a winner (a repetition, a corpus); ``place`` is the candidate's place in the grid."""
 
+    run: str
+    family: str
+    candidate: str
+    place: int
+    params: dict = field(hash=False)
+    features: tuple[str, ...]
+    seed: int = 7
 
-def _forest(p: dict, rows: int, seed: int) -> list:
-    return [RandomForestClassifier(featuresCol="features", weightCol="_w", numTrees=p["trees"], maxDepth=p["depth"],
-                                   minInstancesPerNode=p["leaf"], featureSubsetStrategy="sqrt", seed=seed)]
 
+def candidate_grid(family: str) -> list[tuple[str, dict]]:
+    return [(name, dict(params)) for name, params in GRID[family]]
 
-def _boosted(p: dict, rows: int, seed: int) -> list:
-    return [GBTClassifier(featuresCol="features", weightCol="_w", maxIter=p["trees"], maxDepth=p["depth"], stepSize=p["rate"],
-                          subsamplingRate=0.9, seed=seed)]
 
+def grid_designs(runs: list[str], features: list[str], families=tuple(GRID), seed: int = 7) -> list[Design]:
+    """Every candidate of the families for every run."""
+    return [Design(run, family, name, place, params, tuple(features), seed)
+            for run in runs for family in families for place, (name, params) in enumerate(candidate_grid(family))]
 
-LEARNERS = {"lr": _logistic, "rf": _forest, "boosted": _boosted}
 
-
-def build_model(family: str, params: dict, names: list[str], rows: int, seed: int) -> Pipeline:
-    """Assembler and learner of a family; ``rows`` scales the logistic penalty."""
-    return Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features"), *LEARNERS[family](params, rows, seed)])
+def class_counts(train: DataFrame) -> tuple[int, int]:
+    row = train.agg(F.count_if(F.col("label") == 0).alias("n"), F.count_if(F.col("label") == 1).alias("p")).first()
+    return row.n, row.p
 
 
-def fit(train: DataFrame, family: str, params: dict, names: list[str], seed: int) -> PipelineModel:
-    neg, pos = class_counts(train)
-    if not neg or not pos:
-        raise ValueError("training needs both classes")
-    w = F.lit(1.0)
-    if params.get("balanced"):
-        w = F.when(F.col("label") == 1, (neg + pos) / (2.0 * pos)).otherwise((neg + pos) / (2.0 * neg))
-    return build_model(family, params, names, neg + pos, seed).fit(train.withColumn("_w", w).withColumn("label", F.col("label").cast("double")))
+def where(designs: list[Design], test) -> Column:
+    """Array of the numbers of the designs whose run passes ``test(run)``, a condition on the row."""
+    numbers: dict[str, list[int]] = {}
+    for d, design in enumerate(designs):
+        numbers.setdefault(design.run, []).append(d)
+    none = F.array().cast("array<int>")
+    return F.flatten(F.array(*[F.when(F.coalesce(test(run), F.lit(False)), F.array(*[F.lit(d) for d in ds])).otherwise(none) for run, ds in numbers.items()]))
+
+
+def fit(df: DataFrame, designs: list[Design], fits: Column, ids: str = "sample_id", local_bytes: int = LOCAL_BYTES) -> list:
+    """The model of each design.  ``df`` has label and the features; ``fits`` is its array of design numbers."""
+    names = sorted({f for d in designs for f in d.features})
+    spark = df.sparkSession
+    path = scratch(spark, "fit")
+    df.select(F.col(ids).alias("id"), "label", *[F.col(f).cast("double").alias(f) for f in names], fits.alias("fits")).write.parquet(path)
+    rows = spark.read.parquet(path)
+    out: list = [None] * len(designs)
+    linear = [i for i, d in enumerate(designs) if d.family == "lr"]
+    grown = [i for i, d in enumerate(designs) if d.family != "lr"]
+
+    def part(numbers: list[int]) -> DataFrame:
+        place = F.create_map(*[F.lit(x) for pair in zip(numbers, range(len(numbers))) for x in pair])
+        return rows.withColumn("fits", F.transform(F.filter("fits", lambda d: F.map_contains_key(place, d)), lambda d: place[d]))
+
+    if linear:
+        settings = [{"features": designs[i].features, "C": designs[i].params["C"], "balanced": designs[i].params["balanced"]} for i in linear]
+        most = max(designs[i].params["iterations"] for i in linear)
+        for i, model in zip(linear, fit_logistic(part(linear), names, settings, most=most)):
+            out[i] = model
+    if grown:
+        settings = [{"boosted": designs[i].family == "boosted", "features": designs[i].features, "seed": designs[i].seed, **designs[i].params} for i in grown]
+        for i, model in zip(grown, fit_trees(part(grown), names, settings, "id", local_bytes=local_bytes)):
+            out[i] = model
+    return out
 
 
-def score(model: PipelineModel, df: DataFrame) -> DataFrame:
-    """Input columns plus p, the probability of class 1, as a double."""
-    out = model.transform(df)
-    return out.select(*df.columns, vector_to_array("probability")[1].alias("p"))
+def score(df: DataFrame, models: list, which: Column | None = None, keep: list[str] | None = None, model_bytes: int = MODEL_BYTES) -> DataFrame:
+    """``keep`` columns, model (number), p: one row per row and model that ``which`` lists (default: every fitted model)."""
+    names = sorted({f for m in models for f in m.features})
+    kept = keep if keep is not None else df.columns
+    fitted = [d for d, m in enumerate(models) if m.error is None]
+    groups: list[list[int]] = [[]]
+    size = 0
+    for d in fitted:
+        mine = len(pickle.dumps(models[d]))
+        if groups[-1] and size + mine > model_bytes:
+            groups.append([])
+            size = 0
+        groups[-1].append(d)
+        size += mine
+    lists = which if which is not None else F.array(*[F.lit(d) for d in fitted]).cast("array<int>")
+    rows = df.select(*kept, lists.alias("_which"), *[F.col(f).cast("double").alias(f"_x_{f}") for f in names])
+    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept) + ", model int, p double"
+    out = None
+    for group in groups:
+        held = df.sparkSession.sparkContext.broadcast({d: models[d] for d in group})  # at most model_bytes, or one model
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x, lists = matrix(batch, [f"_x_{f}" for f in names]), membership(batch.column("_which"), len(models))
+                for d, model in held.value.items():
+                    at = np.nonzero(lists[:, d])[0]
+                    if len(at):
+                        mine = batch.select(kept).take(pa.array(at))
+                        p = model.probabilities(x[at], names)
+                        yield pa.RecordBatch.from_arrays([*mine.columns, pa.array(np.full(len(at), d, np.int32)), pa.array(p)], [*kept, "model", "p"])
+
+        part = rows.mapInArrow(run, schema)
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
-def validation_metrics(scored: DataFrame) -> dict:
-    """Best grid threshold and AUC of one candidate: a single row."""
-    s = scored.withColumn("_k", F.lit(1))
-    t = M.grid_threshold(s, ["_k"])
-    a = M.score_table(s, ["_k"]).groupBy("_k").agg(M.roc_auc().alias("roc_auc"))
-    row = t.join(a, "_k").first()
-    return {"threshold": row.threshold, "macro_f1": row.macro_f1, "roc_auc": row.roc_auc}
+TUNING = "model int, run string, family string, candidate string, candidate_index int, params_json string, status string, error string"
+
+
+def tuning_table(scored: DataFrame, designs: list[Design], models: list) -> DataFrame:
+    """One row per design: best grid threshold and AUC on its validation rows (``scored``: model, label, p), the error of a
+    design that has no model, and ``selected``: the first of its run and family by Macro-F1, then AUC, then place."""
+    spark = scored.sparkSession
+    about = spark.createDataFrame([(i, d.run, d.family, d.candidate, d.place, json.dumps(d.params, sort_keys=True),
+                                    "failed" if m.error else "ok", m.error) for i, (d, m) in enumerate(zip(designs, models))], TUNING)
+    t = M.grid_threshold(scored, ["model"])
+    a = M.score_table(scored, ["model"]).groupBy("model").agg(M.roc_auc().alias("roc_auc"))
+    out = about.join(t, "model", "left").join(a, "model", "left")
+    order = Window.partitionBy("run", "family").orderBy(F.col("status") != "ok", F.desc_nulls_last("macro_f1"), F.desc_nulls_last("roc_auc"), "candidate_index")
+    return out.withColumn("selected", (F.row_number().over(order) == 1) & (F.col("status") == "ok"))
+
+
+def select(df: DataFrame, designs: list[Design], fits: Column, validates: Column, ids: str = "sample_id",
+           local_bytes: int = LOCAL_BYTES) -> tuple[list, list[dict]]:
+    """(models, tuning rows) of all designs: fitted on the rows of ``fits``, rated on the rows of ``validates``."""
+    models = fit(df, designs, fits, ids, local_bytes)
+    path = scratch(df.sparkSession, "validation")
+    score(df, models, validates, ["label"]).write.parquet(path)
+    scored = df.sparkSession.read.parquet(path)
+    tuning = [r.asDict() for r in tuning_table(scored, designs, models).orderBy("model").collect()]  # one row per design
+    return models, tuning
+
+
+def winners(tuning: list[dict]) -> list[dict]:
+    """The selected rows; a run and family without any fitted candidate is an error."""
+    chosen = [t for t in tuning if t["selected"]]
+    missing = {(t["run"], t["family"]) for t in tuning} - {(t["run"], t["family"]) for t in chosen}
+    if missing:
+        raise ValueError(f"no candidate could be fitted for {sorted(missing)}")
+    return chosen
+
+
+# ---------------------------------------------------------------- reuse
+def _shards(model) -> list[bytes]:
+    """A model as parts of about SHARD_BYTES: a head, then groups of trees."""
+    if isinstance(model, Linear):
+        return [json.dumps({"kind": "linear", "features": model.features, "intercept": model.intercept,
+                            "coefficients": model.coefficients, "steps": model.steps, "error": model.error}).encode()]
+    head = {"kind": "ensemble", "features": model.features, "cuts": [c.tolist() for c in model.cuts], "boosted": model.boosted,
+            "base": model.base, "error": model.error}
+    out, part, size = [json.dumps(head).encode()], [], 0
+    for t in model.trees:
+        part.append(t.pack())
+        size += len(part[-1])
+        if size > SHARD_BYTES:
+            out.append(_joined(part))
+            part, size = [], 0
+    return [*out, _joined(part)] if part else out
+
+
+def _joined(parts: list[bytes]) -> bytes:
+    return b"".join(len(p).to_bytes(8, "little") + p for p in parts)
+
+
+def _cut(data: bytes) -> Iterator[bytes]:
+    at = 0
+    while at < len(data):
+        size = int.from_bytes(data[at:at + 8], "little")
+        yield data[at + 8:at + 8 + size]
+        at += 8 + size
+
+
+def save(spark: SparkSession, models: list, path: str) -> None:
+    """Writes models as rows (model, part, data); no code is stored, so any session can read them."""
+    rows = [(i, j, bytearray(data)) for i, m in enumerate(models) for j, data in enumerate(_shards(m))]
+    spark.createDataFrame(rows, "model int, part int, data binary").write.mode("overwrite").parquet(path)
+
+
+def load(spark: SparkSession, path: str, wanted: list[int] | None = None) -> list:
+    """The models of ``path``, or those of the numbers ``wanted``, in order of number."""
+    parts: dict[int, list] = {}
+    stored = spark.read.parquet(path)
+    stored = stored if wanted is None else stored.filter(F.col("model").isin(wanted))
+    for r in stored.orderBy("model", "part").collect():  # the models themselves
+        parts.setdefault(r.model, []).append(bytes(r.data))
+    out = []
+    for i in sorted(parts):
+        head = json.loads(parts[i][0])
+        kind = head.pop("kind")
+        if kind == "linear":
+            out.append(Linear(tuple(head["features"]), head["intercept"], tuple(head["coefficients"]), head["steps"], head["error"]))
+            continue
+        trees = [Tree.unpack(t) for data in parts[i][1:] for t in _cut(data)]
+        out.append(Ensemble(tuple(head["features"]), tuple(np.array(c, float) for c in head["cuts"]), head["boosted"], head["base"], tuple(trees), head["error"]))
+    return out
 
 
-def _tried(position: int, setting: tuple[str, dict], rate) -> dict:
-    """Tuning row of one candidate.  Only settings that MLlib refuses make a failed row; a lost executor or any
-    other error ends the job, so that it can never change the winner."""
-    began, (name, params) = time.perf_counter(), setting
-    found = {"status": "ok", "error": None, "threshold": None, "macro_f1": None, "roc_auc": None}
-    try:
-        found |= rate(name, params)
-    except IllegalArgumentException as refused:
-        found |= {"status": "failed", "error": str(refused)[:200]}
-    return {"candidate": name, "candidate_index": position, "params_json": json.dumps(params, sort_keys=True),
-            "fit_seconds": time.perf_counter() - began, **found}
+def coefficients(spark: SparkSession, models: list, runs: list[str]) -> DataFrame:
+    """(run, feature, coefficient) of linear models."""
+    rows = [(run, f, float(c)) for run, m in zip(runs, models) for f, c in zip(m.features, m.coefficients)]
+    return spark.createDataFrame(rows, "run string, feature string, coefficient double")
 
 
-def select_model(train: DataFrame, validation: DataFrame, family: str, names: list[str], seed: int, grid=None):
-    """Tunes a family on ``train`` against ``validation``: (model, winner row, tuning rows).
+def source_discrimination(df: DataFrame, names: list[str], entity: str, seeds: list[int], ids: str = "sample_id") -> DataFrame:
+    """How well a balanced logistic model tells the two sources apart inside each class, on entities it has not seen.
 
-    The winner is the first row of the tuning table by Macro-F1, then AUC, then position in the grid.
+    ``df`` has label, source_id, the entity and the features; nulls of a feature take its median over the class.  One
+    design per class and seed, all fitted together; a quarter of the entities is held out by seed.
     """
-    models: dict[str, PipelineModel] = {}
-    train, validation = train.persist(), validation.persist()
-
-    def rate(name: str, params: dict) -> dict:
-        models[name] = fit(train, family, params, names, seed)
-        return validation_metrics(score(models[name], validation))
-
-    try:
-        tuning = [_tried(i, s, rate) for i, s in enumerate(grid or candidate_grid(family))]
-    finally:
-        train.unpersist()
-        validation.unpersist()
-    # one row per candidate
-    order = Window.orderBy(F.desc_nulls_last("macro_f1"), F.desc_nulls_last("roc_auc"), "candidate_index")
-    ranked = tuning_table(train.sparkSession, tuning).filter("status = 'ok'").withColumn("place", F.row_number().over(order))
-    winner = ranked.filter("place = 1").drop("place").first()
-    if winner is None:
-        raise ValueError(f"MLlib refused every setting of the family {family}")
-    return models[winner.candidate], winner.asDict(), tuning
-
-
-TUNING_SCHEMA = ("candidate string, candidate_index int, params_json string, status string, error string, threshold double, "
-                 "macro_f1 double, roc_auc double, fit_seconds double")
-
-
-def tuning_table(spark, rows: list[dict]) -> DataFrame:
-    return spark.createDataFrame([tuple(r[c.split()[0]] for c in TUNING_SCHEMA.split(", ")) for r in rows], TUNING_SCHEMA)
-
-
-def save(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
-
-
-def load(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
-
-
-def source_discrimination(df: DataFrame, names: list[str], entity: str, seeds: list[int], iterations: int = 2000) -> DataFrame:
-    """How well a balanced logistic model tells the two sources apart inside each class, on entities it has
-    not seen.  ``df`` has label, source_id and the features; one fit per class and seed."""
     from ..functions.columns import joined, unit
 
-    out = None
-    for y in (0, 1):
-        part = df.filter(F.col("label") == y).drop("label").withColumnRenamed("source_id", "label")
-        for seed in seeds:
-            held = unit(joined(":", F.lit(f"sd{seed}"), entity)) < 0.25
-            train, test = part.filter(~held), part.filter(held)
-            neg, pos = class_counts(train)
-            if not neg or not pos:
-                continue
-            w = F.when(F.col("label") == 1, (neg + pos) / (2.0 * pos)).otherwise((neg + pos) / (2.0 * neg))
-            pipe = Pipeline(stages=[
-                Imputer(strategy="median", inputCols=names, outputCols=[f"{n}_f" for n in names]),
-                VectorAssembler(inputCols=[f"{n}_f" for n in names], outputCol="features"),
-                StandardScaler(inputCol="features", outputCol="scaled", withMean=True),
-                LogisticRegression(featuresCol="scaled", weightCol="_w", maxIter=iterations, regParam=1.0 / (neg + pos))])
-            model = pipe.fit(train.withColumn("_w", w).withColumn("label", F.col("label").cast("double")))
-            s = score(model, test.select("label", *names)).withColumns({"class_label": F.lit(y), "seed": F.lit(seed)})
-            a = M.score_table(s, ["class_label", "seed"]).groupBy("class_label", "seed").agg(
-                F.max("tot_neg").alias("test_left"), F.max("tot_pos").alias("test_right"), M.roc_auc().alias("auc"))
-            out = a if out is None else out.unionByName(a)
-    return out
+    medians = df.groupBy("label").agg(*[F.percentile_approx(F.col(n).cast("double"), 0.5, 10000).alias(f"_m_{n}") for n in names])
+    # two rows, one per class
+    filled = df.join(F.broadcast(medians), "label").withColumns({n: F.coalesce(F.col(n), F.col(f"_m_{n}")) for n in names}).withColumnsRenamed(
+        {"label": "class_label", "source_id": "label"})
+    runs = [f"{y}:{seed}" for y in (0, 1) for seed in seeds]
+    designs = [Design(run, "lr", "lr_c1_balanced", 0, GRID["lr"][2][1], tuple(names)) for run in runs]
+
+    def test(run: str) -> Column:
+        return unit(joined(":", F.lit("sd" + run.split(":")[1]), entity)) < 0.25
+
+    def own(run: str) -> Column:
+        return F.col("class_label") == int(run.split(":")[0])
+
+    models = fit(filled, designs, where(designs, lambda r: own(r) & ~test(r)), ids)
+    s = score(filled, models, where(designs, lambda r: own(r) & test(r)), ["label", "class_label"])
+    seed = F.element_at(F.array(*[F.lit(int(r.split(":")[1])) for r in runs]), F.col("model") + 1)
+    s = s.select("class_label", seed.alias("seed"), "label", "p")
+    return M.score_table(s, ["class_label", "seed"]).groupBy("class_label", "seed").agg(
+        F.max("tot_neg").alias("test_left"), F.max("tot_pos").alias("test_right"), M.roc_auc().alias("auc"))
