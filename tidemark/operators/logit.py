@@ -43,11 +43,13 @@ def matrix(batch: pa.RecordBatch, features: list[str]) -> np.ndarray:
 
 
 def membership(column: pa.Array, designs: int) -> np.ndarray:
-    """Rows x designs, true where the row's list names the design."""
+    """Rows x designs, true where the row's list names the design; later designs are left out."""
     out = np.zeros((len(column), designs), bool)
     lists = column.fill_null([]) if column.null_count else column
     sizes = np.array([len(v) for v in lists], int)
-    out[np.repeat(np.arange(len(column)), sizes), lists.flatten().to_numpy(zero_copy_only=False).astype(int)] = True
+    numbers = lists.flatten().to_numpy(zero_copy_only=False).astype(int)
+    rows = np.repeat(np.arange(len(column)), sizes)
+    out[rows[numbers < designs], numbers[numbers < designs]] = True
     return out
 
 

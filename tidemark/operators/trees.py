@@ -339,7 +339,8 @@ def _cells(binned: DataFrame, jobs: list[tuple], rules: dict[int, Rule], pending
         jobs, rules, pending = held.value
         for batch in batches:
             ids, y, fits, bins = _decode(batch, designs)
-            margins = np.asarray(batch.column("margins").flatten().to_numpy(zero_copy_only=False)).reshape(len(y), -1)
+            flat = np.asarray(batch.column("margins").flatten().to_numpy(zero_copy_only=False))
+            margins = flat.reshape(len(y), len(flat) // max(1, len(y)))  # forests carry none
             for d, t, tree, nodes in jobs:
                 rule = rules[d]
                 bag = rule.draw(ids, t) * fits[:, d]
@@ -379,7 +380,7 @@ SPLIT = "design int, tree int, node int, place int, cut int, gl double, hl doubl
 
 def _splits(cells: DataFrame, rules: dict[int, Rule]) -> list:
     """Best split of every node that has one; a node's cells (at most width x BINS) meet in one group."""
-    def run(key, table: pa.Table) -> pa.Table:
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         d, t, node = (k.as_py() for k in key)
         rule = rules[d]
         dense = np.zeros((1, rule.width(), BINS, 3))
@@ -476,13 +477,14 @@ def _moved_on(spark, state: DataFrame, pending: dict[int, list[Tree]]) -> DataFr
         for batch in batches:
             n = batch.num_rows
             bins = np.frombuffer(b"".join(batch.column("bins").to_pylist()), np.uint8).reshape(n, -1) if n else np.zeros((0, 1), np.uint8)
-            margins = np.array(batch.column("margins").flatten().to_numpy(zero_copy_only=False)).reshape(n, -1)
+            flat = np.array(batch.column("margins").flatten().to_numpy(zero_copy_only=False))
+            margins = flat.reshape(n, len(flat) // max(1, n))
             for d, trees in held.value.items():
                 for tree in trees:
                     margins[:, d] += tree.value[tree.leaves(bins)]
             at = batch.schema.get_field_index("margins")
             offsets = pa.array(np.arange(n + 1, dtype=np.int32) * margins.shape[1] if n else np.zeros(1, np.int32))
-            yield batch.set_column(at, batch.schema.field(at), pa.ListArray.from_arrays(offsets, pa.array(margins.ravel())))
+            yield batch.set_column(at, "margins", pa.ListArray.from_arrays(offsets, pa.array(margins.ravel())))
 
     path = scratch(spark, "margins")
     state.mapInArrow(run, state.schema).write.parquet(path)
