@@ -36,9 +36,9 @@ def main() -> None:
     base = raw.count()
     copies = -(-URL_ROWS // base)
     many = raw.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(copies))))
-    sink(U.url_features(raw))
+    sink(U.url_features(raw, fx.rules(spark)))
     start = time.perf_counter()
-    sink(U.url_features(many))
+    sink(U.url_features(many, fx.rules(spark)))
     times["url_features"] = round(time.perf_counter() - start, 3)
     for name in names:
         start = time.perf_counter()

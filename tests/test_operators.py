@@ -22,7 +22,7 @@ SF = "/root/testdata/sf0.001"
 
 def one(spark, url, keep=False):
     df = spark.createDataFrame([(url,)], "raw_url string")
-    return U.normalize_urls(df, keep_fragment=keep).first()
+    return U.normalize_urls(df, fx.rules(spark), keep_fragment=keep).first()
 
 
 @pytest.mark.parametrize("url,expected", [
@@ -44,7 +44,7 @@ def test_normalizer_vectors(spark, url, expected):
 
 def test_feature_vector(spark):
     df = spark.createDataFrame([("\tHTTP://Shop.Mein-Laden.CO.UK:80/w/v/k?a=7&b=#top",)], "raw_url string")
-    r = U.url_features(df).first()
+    r = U.url_features(df, fx.rules(spark)).first()
     assert (r.has_port, r.path_segment_count, r.query_parameter_count, r.subdomain_depth, r.fragment_length) == (0, 3, 2, 1, 3)
     text = "http://shop.mein-laden.co.uk/w/v/k?a=7&b=#top"
     n = len(text)
@@ -196,8 +196,8 @@ def test_filters_and_columns_reach_the_scan(spark):
 
 
 def test_normalizer_needs_no_shuffle(spark):
-    p = plan_of(U.url_features(fx.raw_urls(spark, SF), names=["url_length", "subdomain_depth"]))
-    assert "hashpartitioning" not in p and "SortMergeJoin" not in p and p.count("BroadcastHashJoin") == 2  # no default rule has three labels
+    p = plan_of(U.url_features(fx.raw_urls(spark, SF), fx.rules(spark), names=["url_length", "subdomain_depth"]))
+    assert "hashpartitioning" not in p and "SortMergeJoin" not in p and p.count("BroadcastHashJoin") == len(fx.rules(spark).depths)
 
 
 def test_suffix_rules_from_file(spark, tmp_path):
@@ -206,5 +206,19 @@ def test_suffix_rules_from_file(spark, tmp_path):
     (tmp_path / "rules.dat").write_text("// c\ncom\n*.ck\n!www.ck\n// ===BEGIN PRIVATE DOMAINS===\nblog.com\n")
     rules = read_suffix_rules(spark, str(tmp_path / "rules.dat"))
     df = spark.createDataFrame([("http://a.b.blog.com/",), ("http://x.foo.ck/",), ("http://www.ck/",)], "raw_url string")
-    got = [r.registrable_domain for r in U.normalize_urls(df, rules=rules).collect()]
+    got = [r.registrable_domain for r in U.normalize_urls(df, rules).collect()]
     assert got == ["blog.com", "x.foo.ck", "www.ck"]
+
+
+def test_suffix_rules_of_any_depth(spark):
+    rules = U.suffix_rules(spark, ["org", "ck", "*.ck", "!www.ck", "f.e.d.c.b.org", "*.d.c.b.org", "!x.d.c.b.org", "1.2.3.4.5.6.7.8.9.org"])
+    assert rules.depths == (1, 2, 4, 5, 6, 10) and rules.small
+    want = {"a.z.f.e.d.c.b.org": "z.f.e.d.c.b.org", "f.e.d.c.b.org": "f.e.d.c.b.org", "q.y.d.c.b.org": "q.y.d.c.b.org", "q.x.d.c.b.org": "x.d.c.b.org",
+            "d.c.b.org": "b.org", "k.j.1.2.3.4.5.6.7.8.9.org": "j.1.2.3.4.5.6.7.8.9.org", "ck": "ck", "b.ck": "b.ck", "a.b.ck": "a.b.ck", "www.ck": "www.ck", "no.rule": "no.rule"}
+    df = spark.createDataFrame([(f"http://{h}/", h) for h in want], "raw_url string, h string")
+    for given in (rules, U.parse_suffix_rules(spark.createDataFrame([(r,) for r in ["org", "ck", "*.ck", "!www.ck", "f.e.d.c.b.org", "*.d.c.b.org", "!x.d.c.b.org",
+                                                                                    "1.2.3.4.5.6.7.8.9.org"]], "rule string"))):
+        assert given.depths == rules.depths
+        assert {r.h: r.registrable_domain for r in U.normalize_urls(df, given).collect()} == want
+    bare = U.normalize_urls(df, U.suffix_rules(spark, [])).filter("h = 'b.ck'").first()
+    assert bare.registrable_domain == "b.ck"

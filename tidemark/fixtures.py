@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.urls import SuffixRules, suffix_rules
+
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
@@ -17,6 +19,24 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+# --------------------------------------------------------------------------- suffix rules
+# The rules that the registered queries pass, to both engines.  A real run reads the published list
+# with sources.read_suffix_rules.  The last line holds a rule of six labels, its exception and a deep wildcard.
+SUFFIX_RULES = """
+com org net edu gov mil int info biz name pro io co me tv cc app dev xyz online site top shop club
+de fr it es nl be ch at se no dk fi pl cz sk hu ro bg gr pt ie ru ua tr il ir in cn jp kr tw hk sg
+au nz uk us ca mx br ar cl pe za ng ke eg
+co.uk org.uk ac.uk gov.uk net.uk com.au net.au org.au edu.au gov.au co.nz org.nz co.jp ac.jp or.jp
+com.br net.br org.br com.mx com.ar com.tr com.cn net.cn org.cn com.tw com.hk com.sg co.in net.in
+co.kr co.za com.ua co.il *.ck !www.ck *.bd
+w.x.y.deep.example.org !open.x.y.deep.example.org *.x.y.deep.example.org *.wild.example.net
+""".split()
+
+
+def rules(spark: SparkSession) -> SuffixRules:
+    return suffix_rules(spark, SUFFIX_RULES)
+
+
 # --------------------------------------------------------------------------- labelled URLs
 URLS_SQL = """
 fx_base AS (
@@ -78,6 +98,9 @@ _VARIANTS = [
     "concat('http://h', page_id, '.example.com.:80')",
     "concat('http://h', page_id, chr(1), '.ck/aaa//bbb')",
     "CASE WHEN page_id % 2 = 0 THEN ' ' ELSE NULL END",
+    "concat('http://a', page_id, '.b.w.x.y.deep.example.org/p')",
+    "concat('http://open.x.y.deep.example.org/', page_id)",
+    "concat('http://m.n', page_id, '.wild.example.net/')",
 ]
 RAW_SQL = "fx_raw AS (\n" + "\nUNION ALL ".join(
     f"SELECT page_id * 100 + {i} AS source_row, {v} AS raw_url FROM pages" for i, v in enumerate(_VARIANTS)

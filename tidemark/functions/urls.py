@@ -7,8 +7,10 @@ Arrow UDF that sees only the rows that need it: HTML entities and non-ASCII host
 from __future__ import annotations
 
 import html
+from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -33,16 +35,6 @@ FEATURES = [
 ]
 FEATURE_NAMES = [name for name, _ in FEATURES]
 
-# Public suffixes used when no suffix list is supplied (see sources.read_suffix_rules).
-DEFAULT_SUFFIXES = """
-com org net edu gov mil int info biz name pro io co me tv cc app dev xyz online site top shop club
-de fr it es nl be ch at se no dk fi pl cz sk hu ro bg gr pt ie ru ua tr il ir in cn jp kr tw hk sg
-au nz uk us ca mx br ar cl pe za ng ke eg
-co.uk org.uk ac.uk gov.uk net.uk com.au net.au org.au edu.au gov.au co.nz org.nz co.jp ac.jp or.jp
-com.br net.br org.br com.mx com.ar com.tr com.cn net.cn org.cn com.tw com.hk com.sg co.in net.in
-co.kr co.za com.ua co.il *.ck !www.ck *.bd
-""".split()
-
 _IPV4 = r"^((25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])$"
 _IPV6 = (
     r"^(([0-9a-f]{1,4}:){7}[0-9a-f]{1,4}|([0-9a-f]{1,4}:){1,7}:|([0-9a-f]{1,4}:){1,6}(:[0-9a-f]{1,4})"
@@ -184,63 +176,68 @@ def normalize_steps(df: DataFrame, raw: str = "raw_url", keep_fragment: bool = F
     return out.withColumn("normalization_changed", F.col("normalized_url") != text)
 
 
-def suffix_rules(spark, rules=None) -> DataFrame:
-    """Rule texts as (match_text, match_labels, suffix_labels, is_exception)."""
-    values = ", ".join(f"('{r}')" for r in (rules or DEFAULT_SUFFIXES))
-    return parse_suffix_rules(spark.sql(f"SELECT rule FROM VALUES {values} AS t(rule)"))
+@dataclass(frozen=True)
+class SuffixRules:
+    """Public-suffix rules ready for matching: (match_text, plain, wild, exception), the label counts that occur, and
+    whether the table is small enough to broadcast (a checked count)."""
 
+    table: DataFrame
+    depths: tuple[int, ...]
+    small: bool
+
+
+#: Rules that may be broadcast: at about 40 bytes a rule some 10 MB.
+MAX_SUFFIX_RULES = 200_000
 
-def parse_suffix_rules(texts: DataFrame) -> DataFrame:
-    return texts.selectExpr(
-        "regexp_replace(rule, '^(!|\\\\*\\\\.)', '') as match_text",
-        "startswith(rule, '!') as is_exception",
-        "startswith(rule, '*.') as is_wildcard",
-    ).selectExpr(
-        "match_text",
-        "size(split(match_text, '[.]')) as match_labels",
-        "size(split(match_text, '[.]')) + if(is_wildcard, 1, if(is_exception, -1, 0)) as suffix_labels",
-        "is_exception",
-    )
 
+def _parsed(texts: DataFrame) -> DataFrame:
+    """One row per rule text without its mark: the suffix labels it gives as plain, wildcard and exception rule."""
+    rules = texts.selectExpr("rule", "regexp_replace(rule, '^(!|\\\\*\\\\.)', '') as match_text").selectExpr(
+        "rule", "match_text", "size(split(match_text, '[.]')) as match_labels")
+    n, wild, exception = F.col("match_labels"), F.startswith("rule", F.lit("*.")), F.startswith("rule", F.lit("!"))
+    return rules.groupBy("match_text", "match_labels").agg(
+        F.max(F.when(~wild & ~exception, n)).alias("plain"), F.max(F.when(wild, n + 1)).alias("wild"), F.max(F.when(exception, n - 1)).alias("exception"))
 
-MAX_SUFFIX_RULES = 50_000
 
+def suffix_rules(spark, rules: list[str]) -> SuffixRules:
+    """Rules from their texts (``co.uk``, ``*.ck``, ``!www.ck``); depth and size are read from the list itself."""
+    found: dict[str, list] = {}
+    for rule in rules:
+        text = rule.removeprefix("!").removeprefix("*.")
+        kind = 2 if rule.startswith("!") else 1 if rule.startswith("*.") else 0
+        row = found.setdefault(text, [text.count(".") + 1, None, None, None])
+        row[1 + kind] = row[0] + (0, 1, -1)[kind]
+    schema = "match_text string, match_labels int, plain int, wild int, exception int"
+    frame = spark.createDataFrame(pa.Table.from_pylist([dict(zip(("match_text", "match_labels", "plain", "wild", "exception"), (t, *r))) for t, r in found.items()],
+                                                       schema=pa.schema([("match_text", pa.string()), *((c, pa.int32()) for c in ("match_labels", "plain", "wild", "exception"))])), schema)
+    return SuffixRules(frame, tuple(sorted({r[0] for r in found.values()})), len(found) <= MAX_SUFFIX_RULES)
 
-def attach_suffix(df: DataFrame, host: str = "host", rules: DataFrame | None = None, depth: int = 5) -> DataFrame:
-    """Longest public-suffix match: one broadcast hash join per suffix depth, no shuffle.
 
-    The built-in rules are a constant list.  A supplied table is broadcast only when a bounded
-    count shows that it stays under ``MAX_SUFFIX_RULES``; otherwise Spark picks the join.
-    """
-    spark = df.sparkSession
-    small = unique = rules is None
-    if rules is None:
-        rules, depth = suffix_rules(spark), 3
-    else:
-        small = rules.limit(MAX_SUFFIX_RULES + 1).count() <= MAX_SUFFIX_RULES
+def parse_suffix_rules(texts: DataFrame) -> SuffixRules:
+    """Rules from a table of texts (column ``rule``); one pass over the rules finds the depths and the size."""
+    table = _parsed(texts)
+    row = table.agg(F.sort_array(F.collect_set("match_labels")).alias("depths"), F.count(F.lit(1)).alias("n")).first()
+    return SuffixRules(table, tuple(row.depths or ()), row.n <= MAX_SUFFIX_RULES)
+
+
+def attach_suffix(df: DataFrame, rules: SuffixRules, host: str = "host") -> DataFrame:
+    """Longest public-suffix match: a trie level per label count that occurs in ``rules``, each a hash join on that many
+    trailing labels of the host, broadcast where the rules are small.  Rules of any depth, wildcards and exceptions count."""
     labels = F.when(F.col(host) == "", 0).otherwise(F.size(F.split(host, r"\.")))
     ip = F.col(host).rlike(_IPV4) | F.contains(F.col(host), F.lit(":"))
     out = df.withColumns({"_labels": labels, "_ip": ip})
-    for d in range(1, depth + 1):
-        normal = F.when(~F.col("is_exception"), F.col("suffix_labels"))
-        other = F.when(F.col("is_exception"), F.col("suffix_labels"))
-        side = rules.filter(F.col("match_labels") == d)
-        if unique:
-            side = side.select(F.col("match_text").alias(f"_m{d}"), normal.alias(f"_r{d}"), other.alias(f"_x{d}"))
-        else:
-            side = side.groupBy(F.col("match_text").alias(f"_m{d}")).agg(
-                F.max(normal).alias(f"_r{d}"), F.max(other).alias(f"_x{d}"))
-        side = F.broadcast(side) if small else side
+    for d in rules.depths:
+        side = rules.table.filter(F.col("match_labels") == d).select(
+            F.col("match_text").alias(f"_m{d}"), F.col("plain").alias(f"_r{d}"), F.col("wild").alias(f"_w{d}"), F.col("exception").alias(f"_x{d}"))
+        side = F.broadcast(side) if rules.small else side
         key = F.when((F.col("_labels") >= d) & ~F.col("_ip"), F.substring_index(F.col(host), ".", -d))
         out = out.join(side, key == F.col(f"_m{d}"), "left")
-    exception = F.greatest(*[F.col(f"_x{d}") for d in range(1, depth + 1)], F.lit(None).cast("int"))
-    longest = F.greatest(
-        F.lit(0),
-        *[F.when(F.col(f"_r{d}") <= F.col("_labels"), F.col(f"_r{d}")).otherwise(0) for d in range(1, depth + 1)],
-    )
+    none = F.lit(None).cast("int")
+    exception = F.greatest(none, none, *[F.col(f"_x{d}") for d in rules.depths])
+    longest = F.greatest(F.lit(0), F.lit(0), *[F.col(f"_r{d}") for d in rules.depths], *[F.when(F.col(f"_w{d}") <= F.col("_labels"), F.col(f"_w{d}")) for d in rules.depths])
     n = F.coalesce(exception, longest)
     out = out.withColumn("suffix_labels", n)
-    out = out.drop(*[f"_{p}{d}" for d in range(1, depth + 1) for p in "mrx"])
+    out = out.drop(*[f"_{p}{d}" for d in rules.depths for p in "mrwx"])
     tail = F.expr(f"if(suffix_labels = 0, '', substring_index({host}, '.', -suffix_labels))")
     has_domain = (F.col("suffix_labels") > 0) & (F.col("_labels") > F.col("suffix_labels"))
     out = out.withColumns({
@@ -260,10 +257,9 @@ def attach_suffix(df: DataFrame, host: str = "host", rules: DataFrame | None = N
 RESULT_COLUMNS = ["normalized_url", "host", "registrable_domain", "parse_status", "normalization_changed"]
 
 
-def normalize_urls(df: DataFrame, raw: str = "raw_url", keep_fragment: bool = False,
-                   rules: DataFrame | None = None) -> DataFrame:
+def normalize_urls(df: DataFrame, rules: SuffixRules, raw: str = "raw_url", keep_fragment: bool = False) -> DataFrame:
     """Input columns plus the five result columns of the normaliser."""
-    out = attach_suffix(normalize_steps(df, raw, keep_fragment), "host", rules)
+    out = attach_suffix(normalize_steps(df, raw, keep_fragment), rules)
     return out.select(*df.columns, *RESULT_COLUMNS)
 
 
@@ -326,10 +322,10 @@ def feature_columns() -> dict[str, Column]:
     return {k: c.cast(kinds[k]).alias(k) for k, c in cols.items()}
 
 
-def url_features(df: DataFrame, raw: str = "raw_url", names=None, rules: DataFrame | None = None) -> DataFrame:
+def url_features(df: DataFrame, rules: SuffixRules, raw: str = "raw_url", names=None) -> DataFrame:
     """Input columns plus features for every row that parses; other rows go to ``reject_table``."""
     cols = feature_columns()
-    steps = attach_suffix(normalize_steps(df, raw, keep_fragment=True), "host", rules)
+    steps = attach_suffix(normalize_steps(df, raw, keep_fragment=True), rules)
     return steps.filter(F.col("parse_status") == "ok").select(
         *df.columns, *[cols[n] for n in (names or FEATURE_NAMES)])
 

@@ -10,16 +10,16 @@ from ..functions.columns import sha256, sorted_text
 from .skew import skew_join, with_group_stats
 
 
-def normalize_distinct(df: DataFrame, raw: str = "raw_url") -> DataFrame:
+def normalize_distinct(df: DataFrame, rules: U.SuffixRules, raw: str = "raw_url") -> DataFrame:
     """Normalise each distinct raw URL once and map the result back to every row."""
     distinct = df.groupBy(raw).agg(F.count(F.lit(1)).alias("_n"))
-    done = U.normalize_urls(distinct, raw)
+    done = U.normalize_urls(distinct, rules, raw)
     return skew_join(df, done, [raw], "_n").drop("_n")
 
 
-def normalized_corpus(df: DataFrame) -> DataFrame:
+def normalized_corpus(df: DataFrame, rules: U.SuffixRules) -> DataFrame:
     """Raw rows plus hashes and the normaliser's columns."""
-    out = U.normalize_urls(df)
+    out = U.normalize_urls(df, rules)
     return out.withColumns({
         "label_name": F.when(F.col("label") == 1, "phishing").otherwise("benign"),
         "raw_url_sha256": sha256("raw_url"),
@@ -27,8 +27,8 @@ def normalized_corpus(df: DataFrame) -> DataFrame:
     })
 
 
-def feature_table(df: DataFrame, version: str) -> DataFrame:
-    out = U.url_features(df)
+def feature_table(df: DataFrame, rules: U.SuffixRules, version: str) -> DataFrame:
+    out = U.url_features(df, rules)
     return out.withColumns({
         "corpus_version": F.lit(version),
         "raw_url_sha256": sha256("raw_url"),

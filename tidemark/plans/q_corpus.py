@@ -28,7 +28,7 @@ dedup AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY
 
 
 def norm(spark, sf):
-    return O.normalized_corpus(fx.urls(spark, sf))
+    return O.normalized_corpus(fx.urls(spark, sf), fx.rules(spark))
 
 
 # ------------------------------------------------------------------ A: sources and sinks
@@ -371,12 +371,12 @@ def e07(spark, sf):
  CAST(coalesce(sum(n1) FILTER (WHERE n0 > 0 AND n1 > 0), 0) AS BIGINT) AS conflicting_phishing, max(u) AS max_urls_per_vector
 FROM (SELECT dataset, feature_vector_sha256, count(*) AS n, count(*) FILTER (WHERE label = 0) AS n0, count(*) FILTER (WHERE label = 1) AS n1, count(DISTINCT raw_url) AS u FROM vec GROUP BY ALL) GROUP BY ALL""", URLS, VECTOR_CTES)
 def e08(spark, sf):
-    return O.vector_duplicate_audit(O.feature_table(fx.urls(spark, sf), "master"))
+    return O.vector_duplicate_audit(O.feature_table(fx.urls(spark, sf), fx.rules(spark), "master"))
 
 
 @query("e09_shared_vectors", "SELECT feature_vector_sha256 AS key, count(DISTINCT dataset) AS dataset_count, count(*) AS row_count, string_agg(DISTINCT dataset, ',' ORDER BY dataset) AS datasets, 'feature_vector' AS key_type FROM vec GROUP BY 1 HAVING count(DISTINCT dataset) > 1", URLS, VECTOR_CTES)
 def e09(spark, sf):
-    return O.cross_dataset_overlap(O.feature_table(fx.urls(spark, sf), "master"), "feature_vector_sha256", "feature_vector")
+    return O.cross_dataset_overlap(O.feature_table(fx.urls(spark, sf), fx.rules(spark), "master"), "feature_vector_sha256", "feature_vector")
 
 
 @query("e10_union_by_name", "SELECT dataset, repetition, model, round(avg(p), 9) + 0.0 AS mean_score, CAST(NULL AS BIGINT) AS positives FROM fx_scored WHERE model = 'm1' GROUP BY ALL UNION ALL SELECT dataset, repetition, model, NULL, CAST(sum(label) AS BIGINT) FROM fx_scored WHERE model = 'm2' GROUP BY ALL", SCORED)

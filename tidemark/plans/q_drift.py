@@ -110,7 +110,7 @@ FROM rk a JOIN rk b ON a.dataset = b.dataset AND a.source_row = b.source_row JOI
 def i05(spark, sf):
     from ..functions import urls as U
 
-    f = U.url_features(fx.urls(spark, sf), names=I05_FEATURES)
+    f = U.url_features(fx.urls(spark, sf), fx.rules(spark), names=I05_FEATURES)
     wide = f.select("dataset", F.col("source_row").alias("row_id"), *[F.round(F.col(n).cast("double"), 10).alias(n) for n in I05_FEATURES])
     out = correlation_pairs(spark, wide, ["dataset"], I05_FEATURES).withColumn("rho", rnd("rho", 7))
     return out.withColumn("strong", F.abs("rho") >= 0.95)

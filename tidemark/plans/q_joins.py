@@ -229,7 +229,7 @@ def long_runs(spark, sf, keys=None, metrics=("macro_f1", "fpr", "roc_auc")):
 
 def long_features(spark, sf):
     """(dataset, source_row, label, feature, value): the 35 features as rows."""
-    f = U.url_features(fx.urls(spark, sf))
+    f = U.url_features(fx.urls(spark, sf), fx.rules(spark))
     return f.select("dataset", "source_row", "label", *[F.round(F.col(n).cast("double"), 10).alias(n) for n in U.FEATURE_NAMES]).unpivot(
         ["dataset", "source_row", "label"], U.FEATURE_NAMES, "feature", "value")
 
@@ -400,7 +400,7 @@ def fingerprint(cohort, keys, sample="sample_id"):
 
 @query("g19_class_structure", "SELECT dataset, label, count(*) AS n, round(avg(url_length), 9) + 0.0 AS mean_length, round(avg(CASE WHEN path_length > 1 THEN 1.0 ELSE 0.0 END), 9) + 0.0 AS path_share, round(avg(CASE WHEN query_length > 0 THEN 1.0 ELSE 0.0 END), 9) + 0.0 AS query_share FROM feat GROUP BY ALL", URLS, FLONG)
 def g19(spark, sf):
-    f = U.url_features(fx.urls(spark, sf), names=["url_length", "path_length", "query_length"])
+    f = U.url_features(fx.urls(spark, sf), fx.rules(spark), names=["url_length", "path_length", "query_length"])
     return f.groupBy("dataset", "label").agg(
         F.count(F.lit(1)).alias("n"), rnd(F.avg("url_length")).alias("mean_length"),
         rnd(F.avg((F.col("path_length") > 1).cast("double"))).alias("path_share"), rnd(F.avg((F.col("query_length") > 0).cast("double"))).alias("query_share"))

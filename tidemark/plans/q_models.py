@@ -395,7 +395,7 @@ def _retraining(spark, sf):
     n = norm(spark, sf)
     out = None
     for tag, corpus in (("master", O.master_corpus(n)), ("dedup", O.deduplicated_corpus(n))):
-        features = O.feature_table(corpus.select("dataset", "source_row", "raw_url", "label"), tag)
+        features = O.feature_table(corpus.select("dataset", "source_row", "raw_url", "label"), fx.rules(spark), tag)
         cut = J.row_stratified(features, ["corpus_version"], "source_row", F.lit(tag)).select(
             F.lit(tag).alias("corpus"), F.concat(F.lit(f"{tag}:"), F.col("source_row").cast("string")).alias("sample_id"), "label", "split", *FEATURES)
         out = cut if out is None else out.unionByName(cut)
@@ -429,7 +429,7 @@ def _fixed_roles(spark, sf):
     master = O.master_corpus(norm(spark, sf))
     roles = J.row_stratified(master.select("dataset", "source_row", "label"), ["dataset"], "source_row", F.lit("m")).select("source_row", "split")
     dedup = O.first_per_key(master, ["dataset", "normalized_url_sha256"], ["source_row"])
-    f = U.url_features(dedup.select("source_row", "raw_url", "label")).join(roles, "source_row")
+    f = U.url_features(dedup.select("source_row", "raw_url", "label"), fx.rules(spark)).join(roles, "source_row")
     return _corpus_models(f.select(F.lit("fixed_role").alias("corpus"), F.col("source_row").alias("sample_id"), "label", "split", *FEATURES))
 
 

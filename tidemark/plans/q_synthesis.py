@@ -190,7 +190,7 @@ def r03(spark, sf):
 
 @query("r04_assignment_feature_join", f"SELECT f.dataset, a.split, count(*) AS row_count, count(*) FILTER (WHERE a.label <> f.label) AS label_mismatch, CAST(sum(f.url_length) AS BIGINT) AS url_length_sum FROM feat f JOIN ({J01_SQL}) a USING (dataset, source_row) GROUP BY ALL", URLS, FLONG)
 def r04(spark, sf):
-    f = U.url_features(fx.urls(spark, sf), names=["url_length"]).select("dataset", "source_row", "label", "url_length")
+    f = U.url_features(fx.urls(spark, sf), fx.rules(spark), names=["url_length"]).select("dataset", "source_row", "label", "url_length")
     a = spark_of("j01_row_stratified", spark, sf).withColumnRenamed("label", "assigned_label")
     j = C.checked_join(f, a, ["dataset", "source_row"], expect="1:1", cover=None)
     return j.groupBy("dataset", "split").agg(F.count(F.lit(1)).alias("row_count"), count_if(F.col("label") != F.col("assigned_label")).alias("label_mismatch"), F.sum("url_length").alias("url_length_sum"))

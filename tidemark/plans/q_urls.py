@@ -52,7 +52,7 @@ for _name, _cols in STEPS.items():
 @query("c17_registrable_domain", "SELECT source_row, host, registrable_domain, public_suffix FROM norm", ("raw",),
        norm_ctes("fx_raw"))
 def c17(spark, sf):
-    return U.attach_suffix(U.normalize_steps(fx.raw_urls(spark, sf))).select(
+    return U.attach_suffix(U.normalize_steps(fx.raw_urls(spark, sf)), fx.rules(spark)).select(
         "source_row", "host", "registrable_domain", "public_suffix")
 
 
@@ -62,12 +62,12 @@ def c17(spark, sf):
 def c18(spark, sf):
     from ..operators.corpus import normalize_distinct
 
-    return normalize_distinct(fx.urls(spark, sf)).drop("dataset", "label")
+    return normalize_distinct(fx.urls(spark, sf), fx.rules(spark)).drop("dataset", "label")
 
 
 def _feature(i, name):
     def run(spark, sf):
-        out = U.url_features(fx.raw_urls(spark, sf), names=[name])
+        out = U.url_features(fx.raw_urls(spark, sf), fx.rules(spark), names=[name])
         return out.select("source_row", F.col(name) if name in INT_FEATURES else rnd(name).alias(name))
 
     value = name if name in INT_FEATURES else f"round({name}, 9) + 0.0"
@@ -90,7 +90,7 @@ VECTOR_CTES = feature_ctes("fx_urls") + f",\nvec AS (SELECT *, sha256({_CANON})
 def d36(spark, sf):
     from ..operators.skew import with_group_stats
 
-    out = U.url_features(fx.urls(spark, sf)).withColumn("feature_vector_sha256", U.feature_fingerprint())
+    out = U.url_features(fx.urls(spark, sf), fx.rules(spark)).withColumn("feature_vector_sha256", U.feature_fingerprint())
     out = out.select("source_row", "feature_vector_sha256")
     return with_group_stats(out, ["feature_vector_sha256"], {"same_vector_rows": F.count("*")}).withColumn(
         "has_hash", F.col("feature_vector_sha256").isNotNull())
@@ -103,7 +103,7 @@ def d36(spark, sf):
 def d37(spark, sf):
     from ..operators.corpus import feature_table
 
-    out = feature_table(fx.urls(spark, sf), "master")
+    out = feature_table(fx.urls(spark, sf), fx.rules(spark), "master")
     return out.select(
         "dataset", "source_row", "label", "corpus_version", "raw_url_sha256",
         *[F.col(n) if k == "int" else rnd(n).alias(n) for n, k in U.FEATURES])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..functions.urls import DEFAULT_SUFFIXES
+from ..fixtures import SUFFIX_RULES
 
 _SPLIT = r"'^(([^:/?#]+):)?(//([^/?#]*))?([^?#]*)(\?([^#]*))?(#(.*))?'"
 
@@ -17,9 +17,10 @@ def _pct(x: str) -> str:
 def norm_ctes(src: str, keep_fragment: bool = False, name: str = "norm") -> str:
     """CTE chain from ``src`` (a relation with raw_url) to ``name``."""
     keep = "s_upper_fragment" if keep_fragment else "''"
-    normal = ",".join(f"('{r}')" for r in DEFAULT_SUFFIXES if r[0] not in "*!")
-    wild = ",".join(f"('{r[2:]}')" for r in DEFAULT_SUFFIXES if r[0] == "*")
-    exc = ",".join(f"('{r[1:]}')" for r in DEFAULT_SUFFIXES if r[0] == "!")
+    deepest = max(r.lstrip("!").count(".") + 1 for r in SUFFIX_RULES)
+    normal = ",".join(f"('{r}')" for r in SUFFIX_RULES if r[0] not in "*!")
+    wild = ",".join(f"('{r[2:]}')" for r in SUFFIX_RULES if r[0] == "*")
+    exc = ",".join(f"('{r[1:]}')" for r in SUFFIX_RULES if r[0] == "!")
     return rf"""
 {name}_1 AS (SELECT *, replace(replace(replace(replace(replace(coalesce(raw_url, ''), '&quot;', '"'), '&#39;', ''''), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS s_text FROM {src}),
 {name}_2 AS (SELECT *, regexp_replace(regexp_replace(s_text, '^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$', '', 'g'), '[\x00-\x1f\x7f]', '', 'g') AS s_clean FROM {name}_1),
@@ -50,7 +51,7 @@ def norm_ctes(src: str, keep_fragment: bool = False, name: str = "norm") -> str:
    CASE WHEN host = '' THEN 0 ELSE len(string_split(host, '.')) END AS n_labels,
    contains(host, ':') OR regexp_matches(host, '^[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+$') AS is_ip FROM {name}_13),
 {name}_h AS (SELECT host, k, array_to_string(list_slice(string_split(host, '.'), n_labels - k + 1, n_labels), '.') AS tail
-   FROM (SELECT DISTINCT host, n_labels FROM {name}_14 WHERE NOT is_ip AND n_labels > 0) d, range(1, 6) AS t(k) WHERE k <= n_labels),
+   FROM (SELECT DISTINCT host, n_labels FROM {name}_14 WHERE NOT is_ip AND n_labels > 0) d, range(1, {deepest + 1}) AS t(k) WHERE k <= n_labels),
 {name}_s AS (SELECT host, coalesce(max(CASE WHEN tail IN ({exc.replace('(', '').replace(')', '')}) THEN k - 1 END), 0) AS e,
    max(CASE WHEN tail IN ({normal.replace('(', '').replace(')', '')}) THEN k
             WHEN split_part(tail, '.', 1) <> '' AND substr(tail, strpos(tail, '.') + 1) IN ({wild.replace('(', '').replace(')', '')}) AND contains(tail, '.') AND k > 1 THEN k ELSE 0 END) AS m
