@@ -77,7 +77,7 @@ def test_blocks_do_not_change_results(spark):
     pdf = pd.DataFrame({"k": np.where(rng.random(n) < 0.7, "hot", "cold"), "label": rng.integers(0, 2, n), "p": np.round(rng.random(n) ** 3, 3)})
     df = spark.createDataFrame(pdf)
     got = {}
-    for rows in (10**9, 200):
+    for rows in (None, 10**9, 200, 3):
         s = M.score_table(df, ["k"], block_rows=rows)
         got[rows] = {r.k: r.a for r in s.groupBy("k").agg(M.roc_auc().alias("a")).collect()}
         q = {r.k: r for r in Q.quantiles(df, ["k"], "p", {"q": 0.37}, block_rows=rows).collect()}
@@ -85,7 +85,24 @@ def test_blocks_do_not_change_results(spark):
             part = pdf[pdf.k == k]
             assert abs(got[rows][k] - brute_auc(part.label.to_numpy(), part.p.to_numpy())) < 1e-12
             assert abs(q[k].q - np.quantile(part.p, 0.37)) < 1e-12
-    assert got[10**9] == got[200]
+    assert got[None] == got[10**9] == got[200] == got[3]
+
+
+def test_radix_blocks_follow_the_order_of_values(spark):
+    """Special values, neighbours of powers of two, both signs, and a crowd within 1e-9: coarse and fine blocks never run
+    against the order, and running sums in refined blocks equal a plain window."""
+    rng = np.random.default_rng(8)
+    values = [0.0, -0.0, 5e-324, -5e-324, 1e308, float("inf"), float("-inf"), float("nan"), None]
+    for e in range(-60, 61):
+        p = 2.0 ** e
+        values += [p, np.nextafter(p, 0), np.nextafter(p, 2 * p), -p, -np.nextafter(p, 0)]
+    values += [*rng.normal(size=500), *(0.7 + rng.random(500) * 1e-9), *rng.integers(-50, 50, 100).astype(float)]
+    df = spark.createDataFrame([(v if v is None else float(v),) for v in values], "v double").distinct()
+    rows = df.select("v", Q.radix("v", Q.COARSE).alias("c"), Q.radix("v", Q.FINE).alias("f")).orderBy("v").collect()
+    assert all(a.c <= b.c and a.f <= b.f and a.c << 16 <= b.f if a.c < b.c else a.f <= b.f for a, b in zip(rows, rows[1:]))
+    counts = df.filter("v is not null and not isnan(v)").select(F.lit("k").alias("k"), "v", F.lit(1).cast("long").alias("n"))
+    plain, cut = ({r.v: (r.cum_n, r.tot_n, r.nxt) for r in Q.running_sums(counts, ["k"], "v", ["n"], b, "nxt").collect()} for b in (None, 20))
+    assert plain == cut and len(plain) > 1000
 
 
 def test_spearman_paths_agree(spark):

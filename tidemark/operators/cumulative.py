@@ -1,56 +1,63 @@
 """Ordered cumulative sums per key: the core under AUC, thresholds, KS, Wasserstein, ranks and quantiles.
 
-Rows are first reduced to one per (keys, order value).  Where many distinct values remain, the
-order axis is cut into blocks of bounded row count: block totals give each block its offset and
-the running sum is taken inside (keys, block), so no task ever sorts a whole key.
+Rows are first reduced to one per (keys, order value).  Over large inputs the order axis is then cut into blocks by the
+leading bits of each value's floating-point form, and a block with more than ``BLOCK_ROWS`` values is cut again by
+further bits: block totals give each block its offset and the running sum is taken inside (keys, block), so no task ever
+sorts a whole key.  Cuts depend on the values alone: no job runs while a query is planned, and a retried task sees the
+same blocks.  Where the tables read are below ``WINDOW_BYTES`` together a plain window serves.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_ROWS = 4_000_000
-MAX_BLOCKS = 8192
-
+WINDOW_BYTES = 1 << 27
+COARSE, FINE = 8, 24  # mantissa bits of a block, and of a block that was too full
+
+
+def is_large(df: DataFrame) -> bool:
+    """Whether the tables below ``df`` hold more than ``WINDOW_BYTES``, by the optimizer's figures; nothing runs."""
+    plan = getattr(df, "_jdf", None)
+    if plan is None:
+        return True
+    leaves = plan.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())) > WINDOW_BYTES
+
+
+def radix(order: str, bits: int) -> Column:
+    """A whole number that grows with the value: sign, exponent and ``bits`` leading bits of the mantissa.
+    Nulls come first and NaN last, as in Spark's order; the block of fewer bits is this number without its last bits."""
+    x = F.col(order).cast("double")
+    size = F.abs(x)
+    exponent = F.greatest(F.lit(-1074), F.least(F.lit(1023), F.floor(F.log2(size)).cast("int")))
+    part = F.floor((size / F.pow(F.lit(2.0), exponent.cast("double")) - 1.0) * float(1 << bits))
+    code = (exponent.cast("long") + 1075) * (1 << bits) + F.greatest(F.lit(0), F.least(F.lit((1 << bits) - 1), part)).cast("long")
+    end = F.lit(3000 << bits).cast("long")
+    return F.when(x.isNull(), -end - 1).when(F.isnan(x), end + 1).when(size == float("inf"), F.signum(x).cast("long") * end).when(
+        x == 0, F.lit(0).cast("long")).otherwise(F.signum(x).cast("long") * code)
+
+
+def _with_block(counts: DataFrame, keys: list[str], order: str, block_rows: int) -> DataFrame:
+    shift = FINE - COARSE
+    tagged = counts.withColumn("_coarse", radix(order, COARSE))
+    full = tagged.groupBy(*keys, "_coarse").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > block_rows)
+    full = full.select(*[F.col(k).alias(f"_f_{k}") for k in keys], F.col("_coarse").alias("_full"))
+    cond = F.col("_coarse") == F.col("_full")
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_f_{k}"))
+    fine = F.when(F.col("_full").isNull(), F.col("_coarse") * (1 << shift)).otherwise(radix(order, FINE))
+    return tagged.join(full, cond, "left").withColumn("_block", fine).drop("_coarse", "_full", *[f"_f_{k}" for k in keys])
 
-def plan_blocks(df: DataFrame, order: str, block_rows: int | None = None) -> list[float]:
-    """Cut points of ``order`` such that a block holds about ``block_rows`` rows over all keys.
 
-    One column-pruned pass, as range partitioning makes.  The cuts are returned as constants, so a
-    retried task can never see other cuts; they steer balance only and never change a result.
-    """
-    block_rows = block_rows or BLOCK_ROWS
-    grid = [i / 256 for i in range(1, 256)]
-    row = df.select(F.col(order).cast("double").alias("v")).agg(
-        F.count(F.lit(1)).alias("n"), F.percentile_approx("v", F.lit(grid), F.lit(2000)).alias("q")).first()
-    wanted = min(-(-row.n // block_rows), MAX_BLOCKS)
-    if wanted <= 1 or row.q is None:
-        return []
-    if wanted > 256:
-        fine = [i / wanted for i in range(1, wanted)]
-        row = df.agg(F.percentile_approx(F.col(order).cast("double"), F.lit(fine), F.lit(100000)).alias("q")).first()
-        return sorted(set(row.q))
-    step = 256 / wanted
-    return sorted({row.q[int(i * step) - 1] for i in range(1, wanted)})
-
-
-def _with_block(df: DataFrame, order: str, cuts: list[float]) -> DataFrame:
-    if not cuts:
-        return df.withColumn("_block", F.lit(0))
-    splits = [float("-inf"), *cuts, float("inf")]
-    tagged = df.withColumn("_order", F.col(order).cast("double"))
-    return Bucketizer(splits=splits, inputCol="_order", outputCol="_block", handleInvalid="keep").transform(
-        tagged).drop("_order").withColumn("_block", F.col("_block").cast("int"))
-
-
-def running_sums(counts: DataFrame, keys: list[str], order: str, sums: list[str], cuts: list[float] | None = None,
+def running_sums(counts: DataFrame, keys: list[str], order: str, sums: list[str], block_rows: int | None = None,
                  following: str | None = None) -> DataFrame:
     """``counts`` has one row per (keys, order).  Adds ``cum_x`` (inclusive, ascending) and ``tot_x`` per
-    key for every x in ``sums``; with ``following`` also that column: the next order value of the key."""
+    key for every x in ``sums``; with ``following`` also that column: the next order value of the key.
+    ``block_rows``: cut blocks in any case, of about that many values."""
     whole = Window.partitionBy(*keys)
-    if not cuts:
+    if block_rows is None and not is_large(counts):
         w = whole.orderBy(order)
         run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         full = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -58,7 +65,7 @@ def running_sums(counts: DataFrame, keys: list[str], order: str, sums: list[str]
         if following:
             cols[following] = F.lead(order).over(w)
         return counts.withColumns(cols)
-    tagged = _with_block(counts, order, cuts)
+    tagged = _with_block(counts, keys, order, block_rows or BLOCK_ROWS)
     blocks = tagged.groupBy(*keys, "_block").agg(*[F.sum(s).alias(f"_b_{s}") for s in sums], F.min(order).alias("_lo"))
     wb = whole.orderBy("_block")
     before = wb.rowsBetween(Window.unboundedPreceding, -1)
@@ -85,7 +92,7 @@ def cumulative_by_key(df: DataFrame, keys: list[str], order: str, sums: dict[str
                       block_rows: int | None = None, following: str | None = None) -> DataFrame:
     """Reduce rows to one per (keys, order) with the given sums, then running_sums."""
     counts = df.groupBy(*keys, order).agg(*[c.alias(n) for n, c in sums.items()])
-    return running_sums(counts, keys, order, list(sums), plan_blocks(df, order, block_rows), following)
+    return running_sums(counts, keys, order, list(sums), block_rows, following)
 
 
 def value_ranks(df: DataFrame, keys: list[str], value: str, weight: str | None = None,
@@ -150,19 +157,19 @@ def spearman(df: DataFrame, keys: list[str], x: str, y: str, constant: float | N
              block_rows: int | None = None) -> DataFrame:
     """(keys, n, rho): rank correlation with shared ties; ``constant`` where a side does not vary.
 
-    Where all rows together fit one task (a checked count), both ranks are windows over the keys: one
-    shuffle.  Beyond that the ranks come from the counts per (keys, x) and (keys, y), taken in blocks.
+    Where the input is expected to be small, both ranks are windows over the keys: one shuffle.  Beyond that the ranks
+    come from the counts per (keys, x) and (keys, y), taken in blocks.
     """
     from .skew import skew_join
 
-    if not plan_blocks(df, x, block_rows):
+    if block_rows is None and not is_large(df):
         return _small_spearman(df, keys, x, y, constant)
     cells = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(
         *keys, F.col(x).alias("_x"), F.col(y).alias("_y")).agg(F.count(F.lit(1)).alias("_n"))
 
     def marginal(v, out):
         per = cells.groupBy(*keys, v).agg(F.sum("_n").alias("n"), F.count(F.lit(1)).alias("_cells"))
-        cum = running_sums(per, keys, v, ["n"], plan_blocks(per, v, block_rows))
+        cum = running_sums(per, keys, v, ["n"], block_rows)
         return cum.select(*keys, v, "_cells", (F.col("cum_n") - F.col("n") / 2.0 - F.col("tot_n") / 2.0).alias(out))
 
     j = skew_join(cells, marginal("_x", "_rx"), [*keys, "_x"], "_cells").drop("_cells")

@@ -100,9 +100,9 @@ def entity_influence(df: DataFrame, keys: list[str], entity: str) -> DataFrame:
     (score, class), so rows first reduce to counts per (keys, entity, score)."""
     cells = df.groupBy(*keys, entity, "p").agg(F.count_if(F.col("label") == 1).alias("_pos"), F.count_if(F.col("label") == 0).alias("_neg"))
     s = cells.groupBy(*keys, "p").agg(F.sum("_pos").alias("pos"), F.sum("_neg").alias("neg"), F.count(F.lit(1)).alias("_w"))
-    from .cumulative import plan_blocks, running_sums
+    from .cumulative import running_sums
 
-    s = running_sums(s, keys, "p", ["pos", "neg"], plan_blocks(df, "p"))
+    s = running_sums(s, keys, "p", ["pos", "neg"])
     v10 = div(F.col("cum_neg") - F.col("neg") / 2.0, "tot_neg")
     v01 = div(F.col("tot_pos") - F.col("cum_pos") + F.col("pos") / 2.0, "tot_pos")
     auc = s.groupBy(*keys).agg(F.sum(F.col("pos") * v10 / F.col("tot_pos")).alias("auc"))
