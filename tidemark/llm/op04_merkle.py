@@ -1,6 +1,6 @@
 """Document fingerprints as Merkle trees over sections, paragraphs and sentences.
 
-Leaves are sentences of at most ``LEAF`` characters, paragraphs are lines, and a section ends at a blank line or
+Leaves are sentences of at most ``LEAF`` characters and as many end marks and spaces, paragraphs are lines, and a section ends at a blank line or
 at a paragraph whose digest ends in three zero bits, so an insertion moves no other boundary.  Every inner node
 digests its children.  The fingerprint is the root (equality) followed by the tree with a short code and the
 length of each leaf: two fingerprints are compared from above, equal branches are skipped, and the differing
@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, tasks, unpack
 
 LEAF = 40
-SENTENCE = re.compile(r"[^.!?\n]{1,%d}[.!?]*[^\S\n]*|[.!?]+[^\S\n]*" % LEAF)
+# every part is bounded, so a leaf of any text fits the two digits of its length
+SENTENCE = re.compile(r"[^.!?\n]{1,%d}[.!?]{0,%d}[^\S\n]{0,%d}|[.!?]{1,%d}[^\S\n]{0,%d}" % ((LEAF,) * 5))
 CODE = 8  # characters of a leaf: six of its digest, two of its length
 LOWEST = -(1 << 63)
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"
