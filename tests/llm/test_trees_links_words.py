@@ -269,3 +269,45 @@ def test_new_queries_agree_with_their_sql(spark):
         assert r["ok"], r["why"]
 
 
+
+
+# ---------------------------------------------------------------- edge rows of earlier operators
+def test_merkle_takes_runs_of_any_length(spark):
+    """End marks and white space in long runs, alone and among words."""
+    from tidemark.llm.op04_merkle import likeness, merkle
+    from tidemark.llm.op04_merkle import fingerprint as root
+
+    texts = ["!" * 5000, "." * 4096, "a" + " " * 5000, "?" * 100_000, " " * 100_000, "a." + "\t" * 70_000 + "b", "Ok. " * 3000 + "!" * 50_000 + "\nEnd."]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    out = {r.doc_id: r for r in merkle(df).collect()}
+    assert len(out) == len(texts)
+    for i, t in enumerate(texts):
+        assert out[i].n_chars == len(t) and out[i].fingerprint == root(t) and likeness(root(t), root(t)) == 1.0
+        assert 0 <= out[i].near_edited <= 1 and root(t) != root(t + "!")
+
+
+def test_toxicity_keeps_columns_named_like_its_own(spark):
+    from tidemark.llm.common import table
+    from tidemark.llm.op06_toxicity import score
+
+    sf = "/root/testdata/sf0.001"
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    names = ["_fold", "_x", "x", "kept", "fold", "_features", "_raw", "_chance", "_calibrated", "toxic"]
+    more = docs.selectExpr("*", *[f"doc_id + {i} AS `{n}`" for i, n in enumerate(names, 7)])
+    out = score(more, labels)
+    assert out.columns == [*more.columns, "held_out", "score", "predicted"]
+    plain = {r.doc_id: r.score for r in score(docs, labels, keep=["doc_id"]).collect()}
+    for r in out.collect():
+        assert abs(r.score - plain[r.doc_id]) < 1e-9 and all(r[n] == r.doc_id + i for i, n in enumerate(names, 7))
+
+
+def test_pipeline_stages_keep_columns_named_like_their_own(spark):
+    import corpus_pipeline as p
+    from tidemark.llm.common import table
+
+    docs = table(spark, "/root/testdata/sf0.001", "documents").selectExpr("*", *[f"doc_id AS `{n}`" for n in ("_row", "_copies", "_id", "_copy", "doc", "_copies_")])
+    for name, stage in p.STAGES[1:-1]:
+        out = stage(spark, docs, "/root/testdata/sf0.001")
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert rows and all(r["_row"] == r["_id"] == r["_copies"] == r.doc_id for r in rows), name

@@ -25,8 +25,9 @@ import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from .common import bounded_batches, save, text_slices
 
@@ -155,21 +156,21 @@ def features(text: str | None, lexicon: dict[str, float], memo: dict) -> list[fl
             max(counts.values()) / n]
 
 
-def _feature_batches(lexicons, keep: list[str]):
+def _feature_batches(lexicons):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memos: list[dict] = [{} for _ in lexicons.value]
         for batch, a, b in text_slices(batches):
             part = batch.slice(a, b - a)
-            folds = part.column("_fold").to_pylist() if "_fold" in part.schema.names else [-1] * len(part)
-            rows = [features(t, lexicons.value[f], memos[f]) for t, f in zip(part.column("text").to_pylist(), folds)]
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(rows, pa.list_(pa.float64()))], [*keep, "_x"])
+            rows = [features(t, lexicons.value[f], memos[f]) for t, f in zip(part.column("text").to_pylist(), part.column("fold").to_pylist())]
+            yield pa.RecordBatch.from_arrays([part.column("kept"), pa.array(rows, pa.list_(pa.float64()))], ["kept", "x"])
     return run
 
 
-def with_features(docs: DataFrame, lexicons, keep: list[str]) -> DataFrame:
-    fields = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep)
-    inputs = list(dict.fromkeys(["text", *keep, *(["_fold"] if "_fold" in docs.columns else [])]))
-    return docs.select(*inputs).mapInArrow(_feature_batches(lexicons, keep), f"{fields}, _x array<double>" if fields else "_x array<double>")
+def with_features(docs: DataFrame, lexicons, keep: list[str], fold: Column) -> DataFrame:
+    """(kept, x): the columns of ``keep`` as one struct, so that no name of theirs meets one used here, and the features
+    under the lexicon of ``fold`` (-1: the one of all rows)."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept"), "text", fold.alias("fold"))
+    return rows.mapInArrow(_feature_batches(lexicons), StructType([rows.schema["kept"], StructField("x", ArrayType(DoubleType()))]))
 
 
 def score(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, train_rows: int = TRAIN_ROWS) -> DataFrame:
@@ -193,8 +194,8 @@ def score(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, tra
         prior = float(n[1]) / max(1, sum(n))
         return docs.select(*keep, held, F.lit(prior).alias("score"), F.lit(int(prior >= THRESHOLD)).alias("predicted"))
     lexicons = spark.sparkContext.broadcast(learn_lexicon(train, size))
-    table = save(with_features(train, lexicons, ["doc_id", "toxic", "_fold"]).repartition(6), "op06-features")
-    ready = table.select("_fold", F.col("toxic").cast("double").alias("label"), array_to_vector("_x").alias("_features"))
+    table = save(with_features(train, lexicons, ["toxic", "_fold"], F.col("_fold")).select("kept.*", "x").repartition(6), "op06-features")
+    ready = table.select("_fold", F.col("toxic").cast("double").alias("label"), array_to_vector("x").alias("_features"))
     trees = GBTClassifier(featuresCol="_features", predictionCol="_class", maxIter=20, maxDepth=3, stepSize=0.2, minInstancesPerNode=5, maxBins=64, seed=7).fit(
         ready.filter(F.col("_fold") < FOLDS - 1))
     trees = trees.setRawPredictionCol("_raw").setProbabilityCol("_probability")
@@ -202,9 +203,10 @@ def score(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, tra
     rest = ready.filter(F.col("_fold") == FOLDS - 1)
     curve = IsotonicRegression(featuresCol="_chance", labelCol="label", predictionCol="_calibrated").fit(
         trees.transform(ready if rest.isEmpty() else rest).select("label", chance))
-    scored = with_features(docs, lexicons, keep)
-    scored = trees.transform(scored.withColumn("_features", array_to_vector("_x"))).select(*keep, chance)
+    scored = with_features(docs, lexicons, list(dict.fromkeys(["doc_id", *keep])), F.lit(-1))
+    scored = trees.transform(scored.select("kept", array_to_vector("x").alias("_features"))).select("kept", chance)
     scored = curve.transform(scored)
     # the calibrated steps keep the order of the trees' scores inside a step
     value = F.least(F.lit(1.0), F.greatest(F.lit(0.0), 0.99 * F.col("_calibrated") + 0.01 * F.col("_chance")))
-    return scored.select(*keep, held, value.alias("score")).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    held = F.coalesce(in_test(F.col("kept.doc_id")), F.lit(False)).alias("held_out")
+    return scored.select(*[F.col(f"kept.`{c}`") for c in keep], held, value.alias("score")).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
