@@ -1,5 +1,9 @@
 """Training-corpus pipeline: STAGES of (name, function); each function takes (spark, docs, sf_dir).
 
+Edge cases: null and empty texts are documents like others, equal to each other in exact dedup, and the mix takes none of
+them; null and repeated doc_ids are told apart by row except in mixing, which repeats rows of one id alike; repeated rows
+leave one; an empty table passes through every stage; further columns are kept under any name.
+
 Every stage reads all rows its predecessor wrote.  The stages before the last return the columns of documents;
 the last returns one row per remaining document with its encoding.
 """
@@ -20,15 +24,16 @@ from tidemark.llm.op10_simhash import near_groups
 
 
 def _numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``docs`` with a saved number ``_row``, and (doc_id, text) whose doc_id also holds that number: decisions are a row's own."""
-    rows = save(docs.withColumn("_row", F.monotonically_increasing_id()), "pipeline-rows")
-    return rows, rows.select(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_row").alias("row"))
-                             .alias("doc_id"), "text")
+    """(doc, row): the columns of ``docs`` as one struct beside a saved number, and (doc_id, text) whose doc_id also holds
+    that number: decisions are a row's own, and no column of the table can meet a name used here."""
+    rows = save(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")), "pipeline-rows")
+    return rows, rows.select(F.struct(F.col("doc.doc_id").isNull().alias("none"), F.col("doc.doc_id").alias("id"), "row").alias("doc_id"),
+                             F.col("doc.text").alias("text"))
 
 
 def _keep(rows: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows whose ``_row`` is in ``kept``."""
-    return rows.join(kept.select(F.col("doc_id.row").alias("_row")), "_row", "left_semi").drop("_row")
+    """The documents whose row is in ``kept``."""
+    return rows.join(kept.select(F.col("doc_id.row").alias("row")), "row", "left_semi").select("doc.*")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,21 +45,21 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the longest row of each group of equal texts."""
     rows, named = _numbered(docs)
-    return _keep(rows, exact_groups(named).filter("kept")).select(docs.columns)
+    return _keep(rows, exact_groups(named).filter("kept"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each component of near copies, the one of smallest doc_id (null last)."""
     rows, named = _numbered(docs)
-    return _keep(rows, near_groups(named).filter("doc_id.row = component_id.row")).select(docs.columns)
+    return _keep(rows, near_groups(named).filter("doc_id.row = component_id.row"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats documents as often as the mix takes them, begun repetitions included, and drops those it does not take."""
-    copies = F.ceil(F.col("taken") / F.col("size")).cast("int").alias("_copies")
-    taken = source_mix(docs).filter("taken > 0").groupBy("doc_id").agg(F.max(copies).alias("_copies"))
-    out = docs.join(taken.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
+    copies = F.ceil(F.col("taken") / F.col("size")).cast("int")
+    taken = source_mix(docs.select("doc_id", "text", "source")).filter("taken > 0").groupBy(F.col("doc_id").alias("id")).agg(F.max(copies).alias("copies"))
+    out = docs.select(F.struct("*").alias("doc")).join(taken, F.col("doc.doc_id").eqNullSafe(F.col("id")))
+    return out.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc.*")
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
