@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,6 +72,48 @@ def js_divergence(df: DataFrame, keys: list[str], p: str, is_left: Column, bins:
     return j.groupBy(*keys).agg((F.sum(part(pl, mid) + part(pr, mid)) + F.max(empty)).alias("js_divergence"))
 
 
+def spearman_matrix(wide: DataFrame, keys: list[str], row: str, names: list[str]) -> DataFrame:
+    """(keys, left_feature, right_feature, rho): rank correlation of every pair of ``names``, NULL where one is constant.
+
+    One rank table serves all features.  A row's centred ranks meet in one vector, tasks add up the outer products of
+    their vectors as matrices, and Spark sums the upper triangles (names x (names + 1) / 2 numbers per task and key).
+    A null counts in no product.
+    """
+    from .cumulative import value_ranks
+    from .skew import skew_join
+
+    k = len(names)
+    long = wide.select(*keys, row, F.inline(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).alias("value")) for n in names])))
+    ranks = value_ranks(long, [*keys, "feature"], "value").select(*keys, "feature", "value", "n", (F.col("avg_rank") - (F.col("tot_n") + 1) / 2.0).alias("_rank"))
+    ranked = skew_join(long, ranks, [*keys, "feature", "value"], "n")
+    order = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("feature"))
+    vectors = ranked.groupBy(*keys, row).agg(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("at"), "_rank"))), lambda x: x["_rank"]).alias("_v"))
+    upper = np.triu_indices(k)
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            v = np.nan_to_num(np.asarray(batch.column("_v").flatten().to_numpy(zero_copy_only=False), float)).reshape(batch.num_rows, k)
+            at: dict[tuple, list[int]] = {}
+            for i, key in enumerate(zip(*(batch.column(c).to_pylist() for c in keys))):
+                at.setdefault(key, []).append(i)
+            for key, rows in at.items():
+                total[key] = total.get(key, 0.0) + (v[rows].T @ v[rows])[upper]
+        for key, sums in total.items():
+            yield pa.RecordBatch.from_arrays([*(pa.array([x]) for x in key), pa.array([sums.tolist()])], [*keys, "_cells"])
+
+    schema = ", ".join(f"{c} {wide.schema[c].dataType.simpleString()}" for c in keys) + ", _cells array<double>"
+    cells = vectors.select(*keys, "_v").mapInArrow(products, schema).select(*keys, F.posexplode("_cells").alias("_at", "_sum"))
+    summed = cells.groupBy(*keys, "_at").agg(F.sum("_sum").alias("_sum"))
+    # one row per key with the numbers of its triangle
+    whole = summed.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_at", "_sum"))).alias("_m"))
+    place = {(int(i), int(j)): n for n, (i, j) in enumerate(zip(*upper))}
+    pairs = ", ".join(f"named_struct('left_feature', '{names[i]}', 'right_feature', '{names[j]}', '_xy', {place[i, j]}, '_xx', {place[i, i]}, '_yy', {place[j, j]})"
+                      for i in range(k) for j in range(i + 1, k))
+    rho = F.try_divide(F.element_at("_m", F.col("_xy")), F.sqrt(F.element_at("_m", F.col("_xx"))) * F.sqrt(F.element_at("_m", F.col("_yy"))))
+    return whole.select(*keys, "_m", F.expr(f"inline(array({pairs}))")).select(*keys, "left_feature", "right_feature", rho.alias("rho"))
+
+
 def dead_zone_sign(c: Column, zone: float) -> Column:
     return F.when(F.abs(c) <= zone, 0).otherwise(F.signum(c).cast("int"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import fixtures as fx
 from ..functions.columns import count_if, rnd, sign_int
 from ..functions.special import kolmogorov_p
+from ..functions.urls import FEATURE_NAMES
 from ..operators import drift as D
 from ..operators import metrics as M
 from ..operators.cumulative import quantiles, spearman
@@ -74,45 +75,16 @@ def i04(spark, sf):
     return out.withColumn("js_divergence", rnd("js_divergence"))
 
 
-def rank_vectors(long, keys, sample):
-    """(keys, feature, value, centred rank): ranks once per feature, from the value counts."""
-    from ..operators.cumulative import value_ranks
-
-    r = value_ranks(long, [*keys, "feature"], "value")
-    return r.select(*keys, "feature", "value", "n", (F.col("avg_rank") - (F.col("tot_n") + 1) / 2.0).alias("rank"))
-
-
-def correlation_pairs(spark, wide, keys, names):
-    """All feature-pair rank correlations in one aggregate over rows: each row carries its rank vector and
-    adds the upper triangle of products (595 sums per key), so no row meets another row."""
-    from ..operators.skew import skew_join
-
-    long = wide.unpivot([*keys, "row_id"], names, "feature", "value")
-    ranks = rank_vectors(long, keys, "row_id")
-    ranked = skew_join(long, ranks.select(*keys, "feature", "value", "rank", "n"), [*keys, "feature", "value"], "n")
-    vec = ranked.groupBy(*keys, "row_id").agg(F.map_from_entries(F.collect_list(F.struct("feature", "rank"))).alias("m"))
-    cols = vec.select(*keys, *[F.element_at("m", n).alias(f"f{i}") for i, n in enumerate(names)])
-    sums = cols.groupBy(*keys).agg(*[F.sum(F.col(f"f{i}") * F.col(f"f{j}")).alias(f"s{i}_{j}")
-                                     for i in range(len(names)) for j in range(i, len(names))])
-    pairs = F.array(*[F.struct(F.lit(names[i]).alias("left_feature"), F.lit(names[j]).alias("right_feature"),
-                               F.try_divide(F.col(f"s{i}_{j}"), F.sqrt(f"s{i}_{i}") * F.sqrt(f"s{j}_{j}")).alias("rho"))
-                      for i in range(len(names)) for j in range(i + 1, len(names))])
-    return sums.select(*keys, F.inline(pairs))
-
-
-I05_FEATURES = ["url_length", "hostname_length", "path_length", "query_length", "digit_count", "letter_count", "special_char_count",
-                "dot_count", "slash_count", "path_segment_count", "token_count", "url_char_entropy"]
-
-
 @query("i05_spearman_matrix", f"""SELECT a.dataset, a.feature AS left_feature, b.feature AS right_feature, CASE WHEN isnan(corr(a.rk, b.rk)) THEN NULL ELSE round(corr(a.rk, b.rk), 7) + 0.0 END AS rho, CASE WHEN isnan(corr(a.rk, b.rk)) THEN NULL ELSE abs(round(corr(a.rk, b.rk), 7)) >= 0.95 END AS strong
 FROM rk a JOIN rk b ON a.dataset = b.dataset AND a.source_row = b.source_row JOIN ord oa ON a.feature = oa.f JOIN ord ob ON b.feature = ob.f AND oa.o < ob.o GROUP BY ALL""", URLS,
-       FLONG + f", ord AS (SELECT * FROM (VALUES {', '.join(f'({chr(39)}{n}{chr(39)}, {i})' for i, n in enumerate(I05_FEATURES))}) AS t(f, o)), rk AS (SELECT dataset, source_row, feature, rank() OVER (PARTITION BY dataset, feature ORDER BY value) + (count(*) OVER (PARTITION BY dataset, feature, value) - 1) / 2.0E0 AS rk FROM fl WHERE feature IN (SELECT f FROM ord))")
+       FLONG + f", ord AS (SELECT * FROM (VALUES {', '.join(f'({chr(39)}{n}{chr(39)}, {i})' for i, n in enumerate(FEATURE_NAMES))}) AS t(f, o)), rk AS (SELECT dataset, source_row, feature, rank() OVER (PARTITION BY dataset, feature ORDER BY value) + (count(*) OVER (PARTITION BY dataset, feature, value) - 1) / 2.0E0 AS rk FROM fl WHERE feature IN (SELECT f FROM ord))")
 def i05(spark, sf):
+    """All 595 pairs of the 35 features, per dataset."""
     from ..functions import urls as U
 
-    f = U.url_features(fx.urls(spark, sf), fx.rules(spark), names=I05_FEATURES)
-    wide = f.select("dataset", F.col("source_row").alias("row_id"), *[F.round(F.col(n).cast("double"), 10).alias(n) for n in I05_FEATURES])
-    out = correlation_pairs(spark, wide, ["dataset"], I05_FEATURES).withColumn("rho", rnd("rho", 7))
+    f = U.url_features(fx.urls(spark, sf), fx.rules(spark))
+    wide = f.select("dataset", F.col("source_row").alias("row_id"), *[F.round(F.col(n).cast("double"), 10).alias(n) for n in FEATURE_NAMES])
+    out = D.spearman_matrix(wide, ["dataset"], "row_id", FEATURE_NAMES).withColumn("rho", rnd("rho", 7))
     return out.withColumn("strong", F.abs("rho") >= 0.95)
 
 
@@ -148,16 +120,18 @@ def i07(spark, sf):
 
 
 _AR = """ar AS (SELECT feature, repetition, held_fold, rank() OVER (PARTITION BY feature, repetition, held_fold ORDER BY attribution) + (count(*) OVER (PARTITION BY feature, repetition, held_fold, attribution) - 1) / 2.0E0 AS rx,
- rank() OVER (PARTITION BY feature, repetition, held_fold ORDER BY label) + (count(*) OVER (PARTITION BY feature, repetition, held_fold, label) - 1) / 2.0E0 AS ry, attribution FROM fx_attr_rep WHERE held_fold < 2),
+ rank() OVER (PARTITION BY feature, repetition, held_fold ORDER BY label) + (count(*) OVER (PARTITION BY feature, repetition, held_fold, label) - 1) / 2.0E0 AS ry, attribution FROM fx_attr_rep),
 arho AS (SELECT feature, repetition, held_fold, CASE WHEN min(attribution) = max(attribution) THEN NULL ELSE round(corr(rx, ry), 8) + 0.0 END AS rho FROM ar GROUP BY ALL),
-aw AS (SELECT feature, repetition, max(CASE WHEN held_fold = 0 THEN rho END) AS s, max(CASE WHEN held_fold = 1 THEN rho END) AS t FROM arho GROUP BY ALL)"""
+aw AS (SELECT a.feature, a.repetition, a.held_fold, a.rho AS s, b.rho AS t FROM arho a JOIN arho b ON a.feature = b.feature AND a.repetition = b.repetition AND b.held_fold = (a.held_fold + 1) % 5)"""
 
 
 @query("i08_flip_summary", "SELECT feature, count(*) FILTER (WHERE s * t < 0) AS flips, round(avg(s), 8) + 0.0 AS mean_source_rho, round(avg(t), 8) + 0.0 AS mean_target_rho, round(avg(t) - avg(s), 7) + 0.0 AS difference FROM aw GROUP BY ALL", ATTR, _AR)
 def i08(spark, sf):
-    a = fx.attributions_by_repetition(spark, sf).filter("held_fold < 2")
-    rho = spearman(a, ["feature", "repetition", "held_fold"], "attribution", "label").withColumn("rho", rnd("rho", 8))
-    w = rho.groupBy("feature", "repetition").agg(*[F.max(F.when(F.col("held_fold") == i, F.col("rho"))).alias(n) for i, n in ((0, "s"), (1, "t"))])
+    """Every one of five folds against the next, in every repetition."""
+    a = fx.attributions_by_repetition(spark, sf)
+    rho = spearman(a, ["feature", "repetition", "held_fold"], "attribution", "label").select("feature", "repetition", "held_fold", rnd("rho", 8).alias("rho"))
+    after = rho.select("feature", "repetition", ((F.col("held_fold") + 4) % 5).alias("held_fold"), F.col("rho").alias("t"))
+    w = rho.withColumnRenamed("rho", "s").join(after, ["feature", "repetition", "held_fold"])
     return w.groupBy("feature").agg(
         count_if(F.col("s") * F.col("t") < 0).alias("flips"), rnd(F.avg("s"), 8).alias("mean_source_rho"),
         rnd(F.avg("t"), 8).alias("mean_target_rho"), rnd(F.avg("t") - F.avg("s"), 7).alias("difference"))

@@ -10,7 +10,6 @@ from ..functions.columns import count_if, div, joined, rnd, sha256
 from ..operators import metrics as M
 from ..operators import ranking as R
 from ..operators.cumulative import hash_rank
-from ..operators.splits import balanced_hash_sample
 from .metrics_sql import AUC, score_ctes
 from .q_corpus import jaccard
 from .registry import query
@@ -358,15 +357,17 @@ def k25(spark, sf):
                                count_if(~both).alias("unmatched"))
 
 
-_CV = "cv0 AS (SELECT *, row_number() OVER (PARTITION BY label, feature ORDER BY sha256('conv:' || CAST(sample_id AS VARCHAR)), sample_id) AS r FROM fx_attr), cvx AS (SELECT CAST(z AS BIGINT) AS size, c.* FROM cv0 c, (VALUES (50), (100), (200)) AS t(z) WHERE r <= z / 2)," + summary_cte("sv", "cvx", "size")
+SIZES = [100, 500, 1000]
+_CV = "cv0 AS (SELECT *, row_number() OVER (PARTITION BY label, feature ORDER BY sha256('conv:' || CAST(sample_id AS VARCHAR)), sample_id) AS r FROM fx_attr), cvx AS (SELECT CAST(z AS BIGINT) AS size, c.* FROM cv0 c, (VALUES (100), (500), (1000)) AS t(z) WHERE r <= z / 2)," + summary_cte("sv", "cvx", "size")
 
 
 @query("k26_cohort_convergence", f"SELECT left_run AS left_size, right_run AS right_size, {CMP} FROM pv GROUP BY ALL", ATTR, _CV + "," + pair_cte("pv", "sv", [], "size"))
 def k26(spark, sf):
     a = fx.attributions(spark, sf)
-    parts = None
-    for n in (50, 100, 200):
-        p = balanced_hash_sample(a, ["feature"], n, "conv").withColumn("size", F.lit(n).cast("long"))
-        parts = p if parts is None else parts.unionByName(p)
+    # nested samples: one rank per class serves every size, as a smaller sample is the head of a larger one
+    ranked = a.withColumn("_h", sha256(F.concat(F.lit("conv:"), F.col("sample_id").cast("string"))))
+    w = Window.partitionBy("feature", "label").orderBy("_h", "sample_id")
+    head = ranked.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= SIZES[-1] // 2)
+    parts = head.withColumn("size", F.explode(F.filter(F.array(*[F.lit(n).cast("long") for n in SIZES]), lambda z: F.col("_r") <= z / 2))).drop("_h", "_r")
     s = R.global_summary(parts, ["size"])
     return compared(R.ranking_pairs(s, [], "size"), ["left_run", "right_run"]).withColumnsRenamed({"left_run": "left_size", "right_run": "right_size"})
