@@ -14,7 +14,8 @@ QUICK = ["a01_csv_scan", "a03_labelled_union", "a17_manifest_verification", "b04
          "f01_checked_inner_join", "f07_existence_flags", "g02_quality_profile", "h08_roc_auc", "h10_pr_auc", "h13_grid_threshold",
          "h14_budget_threshold", "h16_order_margin", "h17_oracle_threshold", "h20_domain_weights", "h32_error_concentration", "i02_ks",
          "i03_wasserstein", "i06_label_spearman", "j01_row_stratified", "j12_cross_source_roles", "k06_ranking_comparison",
-         "k12_composite_score", "l02_bootstrap_ci", "l07_benjamini_hochberg", "l11_cluster_contributions", "o01_macro_transfer"]
+         "k12_composite_score", "l02_bootstrap_ci", "l07_benjamini_hochberg", "l11_cluster_contributions", "m01_candidate_grid", "i15_source_discrimination_check",
+         "o01_macro_transfer"]
 QS, OS = plans.queries(), plans.oracles()
 # sf 0.001 holds one duplicated sample key; queries that need a unique sample id use sf 0.01
 UNIQUE = {"f01_checked_inner_join"}

@@ -43,20 +43,24 @@ def assignments(spark, sf):
     return fx.scored(spark, sf).filter("model = 'm1'").select("sample_id", "repetition", "split")
 
 
+def repetitions():
+    return F.sequence(F.lit(0), F.lit(9))
+
+
 # ------------------------------------------------------------------ F: joins
-@query("f01_checked_inner_join", "SELECT dataset, split, count(*) AS row_count, CAST(sum(label) AS BIGINT) AS positives FROM smp JOIN asg USING (sample_id) WHERE repetition = 0 GROUP BY ALL", SCORED, _ASSIGN)
+@query("f01_checked_inner_join", "SELECT dataset, repetition, split, count(*) AS row_count, CAST(sum(label) AS BIGINT) AS positives FROM smp JOIN asg USING (sample_id) GROUP BY ALL", SCORED, _ASSIGN)
 def f01(spark, sf):
-    left = fx.samples(spark, sf).select("sample_id", "dataset", "label").distinct()
-    right = assignments(spark, sf).filter("repetition = 0").select("sample_id", "split").distinct()
-    return C.checked_join(left, right, ["sample_id"], expect="1:1", cover="both").groupBy("dataset", "split").agg(
+    left = fx.samples(spark, sf).select("sample_id", "dataset", "label").distinct().withColumn("repetition", F.explode(repetitions()))
+    right = assignments(spark, sf).distinct()
+    return C.checked_join(left, right, ["sample_id", "repetition"], expect="1:1", cover="both").groupBy("dataset", "repetition", "split").agg(
         F.count(F.lit(1)).alias("row_count"), F.sum("label").alias("positives"))
 
 
-@query("f02_left_join_null_check", "SELECT dataset, count(*) AS row_count, count(*) FILTER (WHERE a.split IS NULL) AS unmatched FROM smp s LEFT JOIN (SELECT * FROM asg WHERE repetition = 0 AND split <> 'test') a USING (sample_id) GROUP BY ALL", SCORED, _ASSIGN)
+@query("f02_left_join_null_check", "SELECT dataset, repetition, count(*) AS row_count, count(*) FILTER (WHERE a.split IS NULL) AS unmatched FROM (SELECT smp.*, CAST(r AS INTEGER) AS repetition FROM smp, range(10) t(r)) s LEFT JOIN (SELECT * FROM asg WHERE split <> 'test') a USING (sample_id, repetition) GROUP BY ALL", SCORED, _ASSIGN)
 def f02(spark, sf):
-    right = assignments(spark, sf).filter("repetition = 0 and split <> 'test'").select("sample_id", "split").distinct()
-    j = fx.samples(spark, sf).select("sample_id", "dataset").join(right, "sample_id", "left")
-    return j.groupBy("dataset").agg(F.count(F.lit(1)).alias("row_count"), count_if(F.col("split").isNull()).alias("unmatched"))
+    right = assignments(spark, sf).filter("split <> 'test'").distinct()
+    j = fx.samples(spark, sf).select("sample_id", "dataset", F.explode(repetitions()).alias("repetition")).join(right, ["sample_id", "repetition"], "left")
+    return j.groupBy("dataset", "repetition").agg(F.count(F.lit(1)).alias("row_count"), count_if(F.col("split").isNull()).alias("unmatched"))
 
 
 @query("f03_match_indicator", "SELECT s.dataset, CASE WHEN p.p_partkey IS NULL THEN 'left_only' ELSE 'both' END AS match, count(*) AS row_count FROM fx_s s LEFT JOIN (SELECT p_partkey FROM part WHERE p_partkey % 3 = 0) p ON s.entity = p.p_partkey GROUP BY ALL", SCORED)
@@ -80,12 +84,12 @@ def f05(spark, sf):
     return fx.samples(spark, sf).join(parts, "entity", "left_semi").groupBy("dataset").agg(F.count(F.lit(1)).alias("row_count"))
 
 
-@query("f06_anti_join", "SELECT t.dataset, count(*) AS row_count FROM fx_s t WHERE NOT EXISTS (SELECT 1 FROM fx_scored f WHERE f.dataset <> t.dataset AND f.repetition = 0 AND f.model = 'm1' AND f.split = 'train' AND f.entity = t.entity) GROUP BY ALL", SCORED)
+@query("f06_anti_join", "SELECT t.dataset, CAST(r.r AS INTEGER) AS repetition, count(*) AS row_count FROM fx_s t, range(10) r(r) WHERE NOT EXISTS (SELECT 1 FROM fx_scored f WHERE f.dataset <> t.dataset AND f.repetition = r.r AND f.model = 'm1' AND f.split = 'train' AND f.entity = t.entity) GROUP BY ALL", SCORED)
 def f06(spark, sf):
     swap = F.when(F.col("dataset") == "O", "F").otherwise("O")
-    fit = fx.scored(spark, sf).filter("repetition = 0 and model = 'm1' and split = 'train'").select(swap.alias("dataset"), "entity").distinct()
-    per = fx.samples(spark, sf).groupBy("dataset", "entity").agg(F.count(F.lit(1)).alias("n"))
-    return per.join(fit, ["dataset", "entity"], "left_anti").groupBy("dataset").agg(F.sum("n").alias("row_count"))
+    fit = fx.scored(spark, sf).filter("model = 'm1' and split = 'train'").select(swap.alias("dataset"), "entity", "repetition").distinct()
+    per = fx.samples(spark, sf).groupBy("dataset", "entity").agg(F.count(F.lit(1)).alias("n")).withColumn("repetition", F.explode(repetitions()))
+    return per.join(fit, ["dataset", "entity", "repetition"], "left_anti").groupBy("dataset", "repetition").agg(F.sum("n").alias("row_count"))
 
 
 @query("f07_existence_flags", "SELECT t.dataset, EXISTS (SELECT 1 FROM fx_s o WHERE o.dataset <> t.dataset AND o.entity = t.entity) AS entity_overlap, EXISTS (SELECT 1 FROM fx_s o WHERE o.dataset <> t.dataset AND o.host_id = t.host_id) AS host_overlap, count(*) AS row_count FROM fx_s t GROUP BY ALL", SCORED)
@@ -134,18 +138,18 @@ def f10(spark, sf):
     return grid.join(have, [*K, "split"], "left_anti")
 
 
-@query("f11_threshold_sweep", "SELECT dataset, model, CAST(k AS INTEGER) AS cents, count(*) FILTER (WHERE label = 1 AND p >= k / 100.0E0) AS tp, count(*) FILTER (WHERE label = 0 AND p >= k / 100.0E0) AS fp FROM fx_scored, range(5, 96) AS g(k) WHERE repetition = 0 GROUP BY ALL", SCORED)
+@query("f11_threshold_sweep", "SELECT dataset, repetition, model, CAST(k AS INTEGER) AS cents, count(*) FILTER (WHERE label = 1 AND p >= k / 100.0E0) AS tp, count(*) FILTER (WHERE label = 0 AND p >= k / 100.0E0) AS fp FROM fx_scored, range(5, 96) AS g(k) GROUP BY ALL", SCORED)
 def f11(spark, sf):
     """Every threshold's counts from per-bucket counts: no row meets more than one threshold."""
     cents = F.floor(F.col("p") * 100).cast("int")
     cents = F.when(F.col("p") >= (cents + 1) / F.lit(100.0), cents + 1).when(F.col("p") < cents / F.lit(100.0), cents - 1).otherwise(cents)
-    b = fx.scored(spark, sf).filter("repetition = 0").groupBy("dataset", "model", F.least(F.greatest(cents, F.lit(4)), F.lit(95)).alias("c")).agg(
+    b = fx.scored(spark, sf).groupBy(*K, F.least(F.greatest(cents, F.lit(4)), F.lit(95)).alias("c")).agg(
         count_if(F.col("label") == 1).alias("pos"), count_if(F.col("label") == 0).alias("neg"))
     # each of the at most 92 buckets feeds the thresholds at or below it
     hit = b.withColumn("cents", F.explode(F.sequence(F.lit(4), F.col("c")))).filter("cents >= 5")
-    got = hit.groupBy("dataset", "model", "cents").agg(F.sum("pos").alias("tp"), F.sum("neg").alias("fp"))
-    grid = b.select("dataset", "model").distinct().select("*", F.explode(F.sequence(F.lit(5), F.lit(95))).alias("cents"))
-    return grid.join(got, ["dataset", "model", "cents"], "left").na.fill(0, ["tp", "fp"])
+    got = hit.groupBy(*K, "cents").agg(F.sum("pos").alias("tp"), F.sum("neg").alias("fp"))
+    grid = b.select(*K).distinct().select("*", F.explode(F.sequence(F.lit(5), F.lit(95))).alias("cents"))
+    return grid.join(got, [*K, "cents"], "left").na.fill(0, ["tp", "fp"])
 
 
 @query("f12_chained_joins", f"SELECT {RUN}, n, round(mean_p, 9) + 0.0 AS mean_p, tp, round(roc_auc, 9) + 0.0 AS roc_auc, round(macro_f1, 9) + 0.0 AS macro_f1 FROM runs JOIN (SELECT {RUN}, count(*) AS n, avg(p) AS mean_p FROM fx_scored GROUP BY ALL) USING ({RUN})", SCORED, RUNS)
@@ -165,22 +169,22 @@ def f13(spark, sf):
     return a.join(b, F.col("a.sample_id") == F.col("b.sample_id")).agg(F.count(F.lit(1)).alias("matched"), differ("label"), differ("split"))
 
 
-@query("f14_alignment_check", """SELECT dataset, count(*) AS ids, count(*) FILTER (WHERE x IS NULL) AS missing_left, count(*) FILTER (WHERE y IS NULL) AS missing_right, count(*) FILTER (WHERE x <> y) AS label_mismatch
-FROM (SELECT dataset, sample_id, max(label) FILTER (WHERE model = 'm1' AND split <> 'test') AS x, max(label) FILTER (WHERE model = 'm2' AND host_id % 7 <> 0) AS y FROM fx_scored WHERE repetition = 0 GROUP BY ALL HAVING x IS NOT NULL OR y IS NOT NULL) GROUP BY ALL""", SCORED)
+@query("f14_alignment_check", """SELECT dataset, repetition, count(*) AS ids, count(*) FILTER (WHERE x IS NULL) AS missing_left, count(*) FILTER (WHERE y IS NULL) AS missing_right, count(*) FILTER (WHERE x <> y) AS label_mismatch
+FROM (SELECT dataset, repetition, sample_id, max(label) FILTER (WHERE model = 'm1' AND split <> 'test') AS x, max(label) FILTER (WHERE model = 'm2' AND host_id % 7 <> 0) AS y FROM fx_scored GROUP BY ALL HAVING x IS NOT NULL OR y IS NOT NULL) GROUP BY ALL""", SCORED)
 def f14(spark, sf):
-    rows = fx.scored(spark, sf).filter("repetition = 0")
-    a = rows.filter("model = 'm1' and split <> 'test'").select("dataset", "sample_id", F.col("label").alias("x"))
-    b = rows.filter("model = 'm2' and host_id % 7 <> 0").select("dataset", "sample_id", F.col("label").alias("y"))
-    j = a.distinct().join(b.distinct(), ["dataset", "sample_id"], "full_outer")
-    return j.groupBy("dataset").agg(F.count(F.lit(1)).alias("ids"), count_if(F.col("x").isNull()).alias("missing_left"),
+    rows = fx.scored(spark, sf)
+    a = rows.filter("model = 'm1' and split <> 'test'").select("dataset", "repetition", "sample_id", F.col("label").alias("x"))
+    b = rows.filter("model = 'm2' and host_id % 7 <> 0").select("dataset", "repetition", "sample_id", F.col("label").alias("y"))
+    j = a.distinct().join(b.distinct(), ["dataset", "repetition", "sample_id"], "full_outer")
+    return j.groupBy("dataset", "repetition").agg(F.count(F.lit(1)).alias("ids"), count_if(F.col("x").isNull()).alias("missing_left"),
                                     count_if(F.col("y").isNull()).alias("missing_right"), count_if(F.col("x") != F.col("y")).alias("label_mismatch"))
 
 
-@query("f15_outer_alignment", "SELECT entity, count(*) FILTER (WHERE repetition = 0) AS r0, count(*) FILTER (WHERE repetition = 1) AS r1, count(*) FILTER (WHERE repetition = 2) AS r2 FROM fx_scored WHERE model = 'm1' AND split = 'test' AND repetition < 3 GROUP BY ALL", SCORED)
+@query("f15_outer_alignment", "SELECT entity, " + ", ".join(f"count(*) FILTER (WHERE repetition = {r}) AS r{r}" for r in range(10)) + " FROM fx_scored WHERE model = 'm1' AND split = 'test' GROUP BY ALL", SCORED)
 def f15(spark, sf):
-    rows = fx.scored(spark, sf).filter("model = 'm1' and split = 'test' and repetition < 3")
-    one = lambda r: rows.filter(F.col("repetition") == r).groupBy("entity").agg(F.count(F.lit(1)).alias(f"r{r}"))
-    return one(0).join(one(1), "entity", "full_outer").join(one(2), "entity", "full_outer").na.fill(0)
+    rows = fx.scored(spark, sf).filter("model = 'm1' and split = 'test'")
+    one = [rows.filter(F.col("repetition") == r).groupBy("entity").agg(F.count(F.lit(1)).alias(f"r{r}")) for r in range(10)]
+    return reduce(lambda a, b: a.join(b, "entity", "full_outer"), one).na.fill(0)
 
 
 @query("f16_dictionary_lookup", "SELECT n.n_name AS nation, r.r_name AS region, count(*) AS customers FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey GROUP BY ALL")
