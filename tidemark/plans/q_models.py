@@ -388,7 +388,8 @@ def _corpus_models(cut):
     return M.metric_table(s, ["corpus", "family", "candidate", "threshold"], F.col("threshold"))
 
 
-FEATURES = [F.col(n).cast("double").alias(n) for n in U.FEATURE_NAMES]
+def as_doubles():
+    return [F.col(n).cast("double").alias(n) for n in U.FEATURE_NAMES]
 
 
 def _retraining(spark, sf):
@@ -397,7 +398,7 @@ def _retraining(spark, sf):
     for tag, corpus in (("master", O.master_corpus(n)), ("dedup", O.deduplicated_corpus(n))):
         features = O.feature_table(corpus.select("dataset", "source_row", "raw_url", "label"), fx.rules(spark), tag)
         cut = J.row_stratified(features, ["corpus_version"], "source_row", F.lit(tag)).select(
-            F.lit(tag).alias("corpus"), F.concat(F.lit(f"{tag}:"), F.col("source_row").cast("string")).alias("sample_id"), "label", "split", *FEATURES)
+            F.lit(tag).alias("corpus"), F.concat(F.lit(f"{tag}:"), F.col("source_row").cast("string")).alias("sample_id"), "label", "split", *as_doubles())
         out = cut if out is None else out.unionByName(cut)
     return _corpus_models(out)
 
@@ -430,7 +431,7 @@ def _fixed_roles(spark, sf):
     roles = J.row_stratified(master.select("dataset", "source_row", "label"), ["dataset"], "source_row", F.lit("m")).select("source_row", "split")
     dedup = O.first_per_key(master, ["dataset", "normalized_url_sha256"], ["source_row"])
     f = U.url_features(dedup.select("source_row", "raw_url", "label"), fx.rules(spark)).join(roles, "source_row")
-    return _corpus_models(f.select(F.lit("fixed_role").alias("corpus"), F.col("source_row").alias("sample_id"), "label", "split", *FEATURES))
+    return _corpus_models(f.select(F.lit("fixed_role").alias("corpus"), F.col("source_row").alias("sample_id"), "label", "split", *as_doubles()))
 
 
 @query("r17_fixed_role_retraining")
