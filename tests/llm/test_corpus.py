@@ -394,6 +394,40 @@ def test_removed_bytes_match_brute_force(spark, seed):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out} == dict(repeats(rows, 40))
 
 
+@pytest.mark.parametrize("most", [1, 4])
+def test_crowded_seeds_are_cut(spark, monkeypatch, most):
+    """One passage in many surroundings, shorter or longer than the limit, and cut short at either end."""
+    import tidemark.llm.op09_suffix as op09
+
+    monkeypatch.setattr(op09, "GROUP", most)
+    rng = random.Random(77)
+    passage = prose(rng, 25)
+    rows = []
+    for i in range(80):
+        a, b = rng.choice([(0, 39), (3, 43), (0, 60), (20, 90), (0, len(passage))])
+        rows.append((i, rng.choice(["", "x", "xy", prose(rng, 9)]) + passage[a:b] + rng.choice(["", "z", prose(rng, 9)])))
+    out = remove_repeats(frame(spark, rows), length=40, seed=10).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out} == dict(repeats(rows, 40))
+
+
+@pytest.mark.parametrize("seed", range(200))
+def test_shared_offsets_match_brute_force(seed):
+    from tidemark.llm.op09_suffix import shared_offsets
+
+    rng = random.Random(seed)
+    contexts = {}
+    for _ in range(rng.randrange(2, 9)):
+        high = rng.randrange(6)
+        low = rng.randrange(high + 1)
+        text = [rng.choice("aab") for _ in range(high - low + 8)]
+        text[high:high + 3] = "xyz"
+        contexts["".join(text).encode(), high] = low
+    windows = {c: {(d, c[0][c[1] - d:c[1] - d + 8]) for d in range(low, c[1] + 1)} for c, low in contexts.items()}
+    for c, ranges in zip(contexts, shared_offsets(list(contexts), 8) if len(contexts) > 1 else []):
+        others = set().union(*(w for o, w in windows.items() if o != c))
+        assert {d for a, b in ranges for d in range(a, b + 1)} == {d for d, w in windows[c] if (d, w) in others}
+
+
 def test_repeated_rows_bring_each_range_once(spark, monkeypatch):
     import tidemark.llm.op09_suffix as op09
 
