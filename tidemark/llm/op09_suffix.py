@@ -45,7 +45,7 @@ LENGTH = 400
 SEED = 100
 BATCHES = 4
 SEGMENT = 1 << 18
-GROUP = 1000
+GROUP = 30000  # of at most 2 * length - seed bytes each: some 20 MB
 LOW = (1 << 24) - 1
 
 
