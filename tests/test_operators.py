@@ -1,5 +1,6 @@
 """Unit rows, brute-force comparisons and plan checks on small frames."""
 
+import hashlib
 import math
 
 import numpy as np
@@ -161,6 +162,29 @@ def test_holdout_without_valid_draw_fails(spark):
         J.group_holdout(df, ["run"], "entity", "h", 0.5).collect()
 
 
+def test_holdout_takes_the_first_valid_draw(spark):
+    """Small runs against plain Python; some need draws of the second word of bits."""
+    def held(attempt, entity):
+        return int(hashlib.sha256(f"h:{attempt}:{entity}".encode()).hexdigest()[:8], 16) / 2 ** 32 < 0.5
+
+    runs = {f"r{k}": [(f"{k}e{i}", label) for i in range(2) for label in (0, 1)] for k in range(60)}
+    runs |= {f"q{k}": [(f"{k}f{i}", i % 2) for i in range(4)] for k in range(60)}
+    late = next(k for k in range(10 ** 7) if all(held(a, f"l{k}") == held(a, f"m{k}") for a in range(12)))
+    runs["late"] = [(f"{side}{late}", label) for side in "lm" for label in (0, 1)]
+
+    def first(rows):
+        return next(a for a in range(100) if {(held(a, e), y) for e, y in rows} == {(h, y) for h in (True, False) for y in (0, 1)})
+
+    df = spark.createDataFrame([(r, e, y) for r, rows in runs.items() for e, y in rows], "run string, entity string, label int")
+    want = {r: first(rows) for r, rows in runs.items()}
+    for word in (50, 7):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(J, "WORD", word)
+            out = J.group_holdout(df, ["run"], "entity", "h", 0.5).collect()
+        assert {r.run: r.attempt for r in out} == want and max(want.values()) >= 12
+        assert all(r.held == held(r.attempt, r.entity) for r in out)
+
+
 def test_reversed_scores_have_their_own_pass(spark):
     # 1 - p merges scores that p and -p keep apart
     df = scored(spark, [(1, .3), (0, .3 + 6e-17), (1, 1e-17), (0, 2e-17)])

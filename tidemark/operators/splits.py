@@ -16,6 +16,7 @@ SPLITS = ["train", "validation", "test"]
 SHARES = [0.70, 0.15, 0.15]  # fixed values: target fractions
 LARGE = 20  # entities above 1/LARGE of their stratum come first in its order
 UNITS = 10_000  # shares are cut at whole ten-thousandths
+WORD = 50  # holdout attempts to a long
 
 
 def row_stratified(df: DataFrame, keys: list[str], sample: str, seed) -> DataFrame:
@@ -99,16 +100,38 @@ def entity_overlap(df: DataFrame, keys: list[str], entities: list[str]) -> DataF
 
 def group_holdout(df: DataFrame, keys: list[str], entity: str, tag: str, fraction: float, attempts: int = 100) -> DataFrame:
     """Hash holdout of a fraction of entities; per key the first attempt that leaves both classes on both sides.
-    A key for which no attempt does fails the job."""
-    counts = df.groupBy(*keys, entity).agg(F.count_if(F.col("label") == 0).alias("n0"), F.count_if(F.col("label") == 1).alias("n1"))
-    tries = counts.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1)))).withColumn(
-        "held", unit(joined(":", F.lit(tag), "attempt", entity)) < fraction)
-    sums = tries.groupBy(*keys, "attempt").agg(*[
-        F.sum(F.when(F.col("held") == h, F.col(c)).otherwise(0)).alias(f"{c}_{int(h)}") for c in ("n0", "n1") for h in (True, False)])
-    good = sums.filter("n0_0 > 0 and n0_1 > 0 and n1_0 > 0 and n1_1 > 0").groupBy(*keys).agg(F.min("attempt").alias("attempt"))
-    found = df.join(good, keys, "left").withColumn("attempt", F.coalesce("attempt", F.raise_error(F.lit(
+    A key for which no attempt does fails the job.
+
+    An entity carries the attempts that hold it as bits, ``WORD`` to a long; the bits of the entities of a class are or-ed
+    per key, held ones and the others, so attempts add no rows."""
+    starts = range(0, attempts, WORD)
+
+    def held(i):
+        return unit(joined(":", F.lit(tag), i, entity)) < fraction
+
+    def word(start):
+        steps = F.sequence(F.lit(start), F.lit(min(start + WORD, attempts) - 1))
+        bit = lambda i: F.when(held(i), F.call_function("shiftleft", F.lit(1).cast("long"), i - start)).otherwise(F.lit(0).cast("long"))
+        return F.aggregate(steps, F.lit(0).cast("long"), lambda bits, i: bits.bitwiseOR(bit(i)))
+
+    counts = df.groupBy(*keys, entity).agg(F.bool_or(F.col("label") == 0).alias("c0"), F.bool_or(F.col("label") == 1).alias("c1"))
+    masks = counts.select(*keys, "c0", "c1", *[word(s).alias(f"w{s}") for s in starts])
+    full = {s: F.lit((1 << min(WORD, attempts - s)) - 1).cast("long") for s in starts}
+    sides = masks.groupBy(*keys).agg(*[
+        F.coalesce(F.bit_or(F.when(F.col(c), side)), F.lit(0).cast("long")).alias(f"{c}_{int(h)}_{s}")
+        for s in starts for c in ("c0", "c1") for h, side in ((True, F.col(f"w{s}")), (False, full[s].bitwiseXOR(F.col(f"w{s}"))))])
+
+    def first(s):
+        cells = [F.col(f"{c}_{h}_{s}") for c in ("c0", "c1") for h in (0, 1)]
+        good = cells[0].bitwiseAND(cells[1]).bitwiseAND(cells[2]).bitwiseAND(cells[3])
+        # the lowest bit set: the zeros that end the binary digits
+        digits = F.bin(good)
+        return F.when(good != 0, F.length(digits) - F.length(F.rtrim(digits, F.lit("0"))) + s)
+
+    tried = sides.select(*keys, F.coalesce(*[first(s) for s in starts]).alias("attempt")).filter("attempt IS NOT NULL")
+    found = df.join(tried, keys, "left").withColumn("attempt", F.coalesce("attempt", F.raise_error(F.lit(
         f"no holdout of {attempts} draws leaves both classes on both sides of a run")).cast("int")))
-    return found.withColumn("held", unit(joined(":", F.lit(tag), "attempt", entity)) < fraction)
+    return found.withColumn("held", held(F.col("attempt")))
 
 
 def balanced_hash_sample(df: DataFrame, keys: list[str], size: int, tag: str, sample: str = "sample_id") -> DataFrame:

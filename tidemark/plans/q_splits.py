@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import fixtures as fx
-from ..functions.columns import count_if, div, joined, rnd
+from ..functions.columns import count_if, div, joined, rnd, u32
 from ..operators import contracts as C
 from ..operators import corpus as O
 from ..operators import splits as J
@@ -132,6 +132,28 @@ def j09(spark, sf):
         F.count(F.lit(1)).alias("row_count"), F.count_distinct("entity").alias("entities"), F.sum("label").alias("phishing"))
 
 
+_U32 = "CAST(('0x' || substr(sha256({}), 1, 8)) AS UBIGINT)"
+_DRAWS = f"""{_BASE.rstrip().rstrip(',')},
+hv AS (SELECT dataset, repetition, entity, label, CAST({_U32.format("'shard:' || CAST(entity AS VARCHAR)")} % 64 AS BIGINT) AS shard FROM fx1 WHERE split = 'validation'),
+he AS (SELECT dataset, repetition, shard, entity, bool_or(label = 0) AS c0, bool_or(label = 1) AS c1 FROM hv GROUP BY ALL),
+hk AS (SELECT dataset, repetition, shard FROM he GROUP BY ALL HAVING count(*) FILTER (WHERE c0) > 1 AND count(*) FILTER (WHERE c1) > 1),
+ht AS (SELECT he.*, t.attempt, {_U32.format("'draw:' || CAST(t.attempt AS VARCHAR) || ':' || CAST(entity AS VARCHAR)")} / 4294967296.0E0 < 0.5 AS held FROM he JOIN hk USING (dataset, repetition, shard), range(0, 100) AS t(attempt)),
+hg AS (SELECT dataset, repetition, shard, attempt FROM ht GROUP BY ALL HAVING bool_or(held AND c0) AND bool_or(held AND c1) AND bool_or(NOT held AND c0) AND bool_or(NOT held AND c1)),
+hm AS (SELECT dataset, repetition, shard, min(attempt) AS attempt FROM hg GROUP BY ALL)"""
+
+
+@query("j09_group_holdout_draws", "SELECT hv.dataset, hv.repetition, hv.shard, CAST(ht.attempt AS INTEGER) AS attempt, held, count(*) AS row_count, count(DISTINCT hv.entity) AS entities, CAST(sum(label) AS BIGINT) AS phishing FROM hv JOIN ht USING (dataset, repetition, shard, entity) JOIN hm ON hm.dataset = ht.dataset AND hm.repetition = ht.repetition AND hm.shard = ht.shard AND hm.attempt = ht.attempt GROUP BY ALL", SCORED, _DRAWS)
+def j09_draws(spark, sf):
+    """Holdouts of small runs (64 hash shards of the entities), many of which need a later draw."""
+    rows = one_model(spark, sf).filter("split = 'validation'").withColumn("shard", u32(joined(":", F.lit("shard"), "entity")) % 64)
+    keys = ["dataset", "repetition", "shard"]
+    per = rows.groupBy(*keys, "entity").agg(F.bool_or(F.col("label") == 0).alias("c0"), F.bool_or(F.col("label") == 1).alias("c1"))
+    able = per.groupBy(*keys).agg(count_if(F.col("c0")).alias("e0"), count_if(F.col("c1")).alias("e1")).filter("e0 > 1 AND e1 > 1").select(*keys)
+    out = J.group_holdout(rows.join(able, keys), keys, "entity", "draw", 0.5)
+    return out.groupBy(*keys, "attempt", "held").agg(
+        F.count(F.lit(1)).alias("row_count"), F.count_distinct("entity").alias("entities"), F.sum("label").alias("phishing"))
+
+
 def folds(spark, sf):
     rows = fx.samples(spark, sf).select("sample_id", "dataset", "entity", "label").withColumn("repetition", F.lit(0))
     return J.group_folds(rows, ["dataset", "repetition"], "entity", F.lit("folds"))
