@@ -17,6 +17,7 @@ from tidemark.operators import inference as I
 from tidemark.operators import metrics as M
 from tidemark.operators import splits as J
 from tidemark.operators.skew import skew_join, with_group_stats
+from tidemark.sources import files as S
 
 SF = "/root/testdata/sf0.001"
 
@@ -162,6 +163,22 @@ def test_holdout_without_valid_draw_fails(spark):
         J.group_holdout(df, ["run"], "entity", "h", 0.5).collect()
 
 
+def test_manifests_keep_folders_apart(spark, tmp_path):
+    tmp_path = tmp_path / "r t"
+    tmp_path.mkdir()
+    want = {}
+    for folder, text in (("a b", "one\r\ntwo"), ("c", "three\r")):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "part.txt").write_bytes(text.encode())
+        want[f"{folder}/part.txt"] = (len(text), hashlib.sha256(text.encode()).hexdigest())
+    got = {r.path.replace("%20", " "): (r.bytes, r.sha256) for r in S.manifest(spark, str(tmp_path), "*.txt").collect()}
+    assert got == want
+    other = S.manifest(spark, str(tmp_path), "*.txt").withColumn("bytes", F.col("bytes") + F.endswith("path", F.lit("c/part.txt")).cast("int"))
+    assert [(r.path, r.reason) for r in S.manifest_mismatches(S.manifest(spark, str(tmp_path), "*.txt"), other).collect()] == [("c/part.txt", "bytes")]
+    (line,) = S.canonical_text_hash(spark, str(tmp_path / "c")).collect()
+    assert (line.path, line.sha256) == ("part.txt", hashlib.sha256(b"three\n").hexdigest())
+
+
 def test_holdout_takes_the_first_valid_draw(spark):
     """Small runs against plain Python; some need draws of the second word of bits."""
     def held(attempt, entity):

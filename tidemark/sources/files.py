@@ -15,6 +15,19 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/tidemark-{name}-{uuid.uuid4().hex}"
 
 
+def below(spark: SparkSession, root: str, path) -> Column:
+    """The part of a file's path below the folder ``root``, so that files of one name in two folders stay apart;
+    the name alone where the file is not below it (a pattern as root)."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+    uri = folder.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(folder).toUri()
+    # schemes are written file:/x or file:///x; readers give the path plain or with percent signs
+    plain = F.regexp_replace(F.col(path) if isinstance(path, str) else path, "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+    out = F.element_at(F.split(plain, "/"), -1)
+    for start in {uri.getPath().rstrip("/") + "/", uri.getRawPath().rstrip("/") + "/"}:
+        out = F.when(F.startswith(plain, F.lit(start)), F.substr(plain, F.lit(len(start) + 1))).otherwise(out)
+    return out
+
+
 def physical_rows(df: DataFrame, first: int = 1, columns: list[str] | None = None) -> DataFrame:
     """Adds ``file_path`` and ``row_number``: the row's position in its file, over split files as well.
 
@@ -117,9 +130,9 @@ def write_once(df: DataFrame, path: str, force: bool = False) -> str:
 
 
 def manifest(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """(path, bytes, sha256) per file.  Spark reads a file as one value, so files must be below 2 GB."""
+    """(path below the folder, bytes, sha256) per file.  Spark reads a file as one value, so files must be below 2 GB."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("path"), F.col("length").alias("bytes"),
+    return files.select(below(spark, path, "path").alias("path"), F.col("length").alias("bytes"),
                         F.sha2("content", 256).alias("sha256"))
 
 
@@ -135,7 +148,7 @@ def manifest_mismatches(expected: DataFrame, actual: DataFrame) -> DataFrame:
 def canonical_text_hash(spark: SparkSession, path: str) -> DataFrame:
     """sha256 of each text file with CR and CRLF turned into LF."""
     t = spark.read.text(path, wholetext=True)
-    return t.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("path"),
+    return t.select(below(spark, path, F.col("_metadata.file_path")).alias("path"),
                     F.sha2(F.regexp_replace("value", "\r\n?", "\n").cast("binary"), 256).alias("sha256"))
 
 
