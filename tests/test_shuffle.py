@@ -26,6 +26,11 @@ def shuffled_rows(spark, name):
     ("f01_checked_inner_join", 4),
     ("f14_alignment_check", 4),
     ("h36_replay_difference", 4),
+    ("o01_macro_transfer", 3),
+    ("o02_low_fpr_transfer", 3),
+    ("o04_edge_budget_summary", 3),
+    ("l15_transfer_gap", 3),
+    ("h29_frozen_scopes", 6),
     ("f02_left_join_null_check", 4),
     ("h31_error_disagreement", 4),
 ])

@@ -183,10 +183,14 @@ XM = _EXT.strip() + "," + _XM
 
 
 def transfer_metrics(spark, sf):
-    rows = fx.scored(spark, sf)
-    own = rows.filter("split = 'test'").select(F.col("dataset").alias("source"), "repetition", "model", "label", "p", F.lit("internal").alias("side"))
-    ext = external_primary(rows).filter("included_in_primary").select("source", "repetition", "model", "label", "p", F.lit("external").alias("side"))
-    return M.rates(M.confusion(own.unionByName(ext), ["source", "repetition", "model", "side"], F.lit(0.5)))
+    """One pass counts every (run, test split or not, primary or not); the two sides are sums of those few rows."""
+    rows = external_primary(spark, sf).withColumn("_test", F.col("split") == "test")
+    cells = M.confusion(rows, [*K, "source", "_test", "included_in_primary"], F.lit(0.5))
+    side = lambda keep, source, n: F.struct(F.col(keep).alias("keep"), F.col(source).alias("source"), F.lit(n).alias("side"))
+    counts, keys = ["tp", "fp", "fn", "tn"], ["source", "repetition", "model", "side"]
+    long = cells.select("repetition", "model", *counts, F.inline(F.array(
+        side("_test", "dataset", "internal"), side("included_in_primary", "source", "external")))).filter("keep")
+    return M.rates(long.groupBy(*keys).agg(*[F.sum(n).alias(n) for n in counts]))
 
 
 @query("l15_transfer_gap", "SELECT source, repetition, model, metric, round(gap, 9) + 0.0 AS gap FROM (SELECT e.source, e.repetition, e.model, e.accuracy - i.accuracy AS accuracy, e.fpr - i.fpr AS fpr FROM xm e JOIN xm i ON e.source = i.source AND e.repetition = i.repetition AND e.model = i.model AND e.side = 'external' AND i.side = 'internal') UNPIVOT (gap FOR metric IN (accuracy, fpr))", SCORED, XM)
