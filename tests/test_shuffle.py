@@ -31,6 +31,8 @@ def shuffled_rows(spark, name):
     ("o04_edge_budget_summary", 3),
     ("l15_transfer_gap", 3),
     ("h29_frozen_scopes", 6),
+    ("h22_weighted_ranking", 5),
+    ("h20_domain_weights", 3),
     ("f02_left_join_null_check", 4),
     ("h31_error_disagreement", 4),
 ])

@@ -220,6 +220,28 @@ def entity_weights(df: DataFrame, keys: list[str], entity: str, name: str = "wei
     return out.withColumn(name, 1.0 / F.col("_size")).drop("_size")
 
 
+def entity_sizes(df: DataFrame, on: list[str], cell: Column, cells: int) -> DataFrame:
+    """One row per entity: its rows in each of the numbered cells (run and part) as one array, and ``_n``, all its rows.
+    Cells combine on the map side, so they add no rows to a shuffle."""
+    per = df.withColumn("_cell", cell).groupBy(*on).agg(
+        F.count(F.lit(1)).alias("_n"), *[F.count_if(F.col("_cell") == i).alias(f"_{i}") for i in range(cells)])
+    return per.select(*on, "_n", F.array(*[F.col(f"_{i}") for i in range(cells)]).alias("_sizes"))
+
+
+def weighted_ranking(scores: DataFrame, keys: list[str], bins: int = 15) -> DataFrame:
+    """AUCs, Brier, log loss and ECE of a weighted score table: every sum over rows is a sum over its scores."""
+    w, q = F.col("pos") + F.col("neg"), clipped(F.col("p"))
+    bin_ = F.least(F.floor(F.col("p") * bins), F.lit(bins - 1)).cast("int")
+    per = scores.groupBy(*keys, bin_.alias("_bin")).agg(
+        auc_terms().alias("_auc"), F.max("tot_pos").alias("_P"), F.max("tot_neg").alias("_N"), pr_auc().alias("_pr"),
+        F.sum(w).alias("_w"), F.sum(w * F.col("p") - F.col("pos")).alias("_gap"),
+        F.sum(F.col("pos") * F.pow(F.col("p") - 1, F.lit(2)) + F.col("neg") * F.pow("p", F.lit(2))).alias("_sq"),
+        F.sum(-F.col("pos") * F.ln(q) - F.col("neg") * F.ln(1 - q)).alias("_ll"))
+    return per.groupBy(*keys).agg(
+        div(F.sum("_auc"), F.max("_P") * F.max("_N")).alias("roc_auc"), F.sum("_pr").alias("pr_auc"), div(F.sum("_sq"), F.sum("_w")).alias("brier"),
+        div(F.sum("_ll"), F.sum("_w")).alias("log_loss"), div(F.sum(F.abs(F.col("_gap"))), F.sum("_w")).alias("ece"))
+
+
 def entity_confusion(df: DataFrame, keys: list[str], entity: str, threshold: Column) -> DataFrame:
     """Domain-equal confusion: per-entity mean indicators, then their sum.  No row-level join."""
     per = confusion(df, [*keys, entity], threshold)
