@@ -280,3 +280,12 @@ def test_suffix_rules_of_any_depth(spark):
         assert {r.h: r.registrable_domain for r in U.normalize_urls(df, given).collect()} == want
     bare = U.normalize_urls(df, U.suffix_rules(spark, [])).filter("h = 'b.ck'").first()
     assert bare.registrable_domain == "b.ck"
+
+
+def test_correlation_of_a_constant_is_nan(spark):
+    """Rankings that agree in every fold leave one side constant; the other groups keep their figure."""
+    from tidemark.functions.columns import correlation
+
+    rows = [("c", 1.0, 2.0), ("c", 1.0, 3.0), ("v", 1.0, 2.0), ("v", 2.0, 4.0), ("v", None, 9.0), ("e", None, 1.0)]
+    got = {r.k: r.c for r in spark.createDataFrame(rows, "k string, x double, y double").groupBy("k").agg(correlation("x", "y").alias("c")).collect()}
+    assert got["c"] != got["c"] and abs(got["v"] - 1.0) < 1e-12 and got["e"] is None

@@ -25,6 +25,14 @@ def rnd(x, places: int = 9) -> Column:
     return F.round(col(x).cast("double"), places) + F.lit(0.0)
 
 
+def correlation(x, y) -> Column:
+    """Aggregate: Pearson correlation, NaN where a side does not vary (``corr`` fails there under ANSI)."""
+    x, y = col(x).cast("double"), col(y).cast("double")
+    both = x.isNotNull() & y.isNotNull()
+    spread = F.sqrt(F.var_pop(F.when(both, x)) * F.var_pop(F.when(both, y)))
+    return F.when(F.count_if(both) > 0, F.coalesce(F.try_divide(F.covar_pop(x, y), spread), F.lit(float("nan"))))
+
+
 def count_if(cond: Column) -> Column:
     return F.count_if(cond)
 

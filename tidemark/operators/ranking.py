@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import count_if, div, sha256, sign_int
+from ..functions.columns import correlation, count_if, div, sha256, sign_int
 from .cumulative import spearman
 
 
@@ -59,7 +59,7 @@ def compare_rankings(pairs: DataFrame, keys: list[str]) -> DataFrame:
     ranked = pairs.withColumns({"_rl": avg("left_rank"), "_rr": avg("right_rank")})
     top = (l <= 20) | (r <= 20)
     return ranked.groupBy(*keys).agg(
-        *jac, F.corr("_rl", "_rr").alias("rank_spearman"),
+        *jac, correlation("_rl", "_rr").alias("rank_spearman"),
         F.round(F.avg(same.cast("double")), 9).alias("direction_agreement_all"),
         F.round(F.avg(F.when(top, same.cast("double"))), 9).alias("direction_agreement_top20"))
 
