@@ -126,3 +126,23 @@ def test_models_are_stored_and_scored_in_groups(spark, frame, tmp_path):
     a, b, c = ({(r.sample_id, r.model): r.p for r in L.score(frame, m, which, ["sample_id"], size).collect()} for m, size in ((models, 1 << 30), (again, 1 << 30), (models, 1)))
     assert a == b == c and len(a) == 150 * 9
     assert [m.features for m in L.load(spark, str(tmp_path / "m"), [2, 5])] == [tuple(NAMES)] * 2
+
+
+def test_bin_cuts_are_exact_and_do_not_depend_on_partitions(spark):
+    """More rows than an approximate summary keeps: the cuts are the values of the ranks i / 256 all the same."""
+    x = np.random.default_rng(8).normal(size=30_000)
+    df = spark.createDataFrame([(float(v), float(round(v))) for v in x] + [(None, float("nan"))], "a double, b double")
+    want = np.sort(x)[[-(-i * len(x) // T.BINS) - 1 for i in range(1, T.BINS)]]
+    for parts in (3, 11):
+        a, b = T.bin_cuts(df.repartition(parts), ["a", "b"])
+        assert np.array_equal(a, want) and set(b) <= set(np.round(x)) and len(b) > 3
+
+
+def test_grown_trees_stay_out_of_the_driver(spark, frame):
+    designs = [L.Design("r", f, f, 0, {**L.GRID[f][0][1], "trees": 4}, tuple(NAMES)) for f in ("rf", "boosted")]
+    models = L.fit(frame, designs, L.where(designs, lambda r: F.col("sample_id") < 450))
+    assert [(m.held, m.size) for m in models] == [((), 4), ((), 4)]
+    x, _ = data()
+    got = {(r.sample_id, r.model): r.p for r in L.score(frame, models, None, ["sample_id"]).collect()}
+    for d, m in enumerate(models):
+        assert [got[i, d] for i in range(600)] == list(m.probabilities(x, NAMES))
