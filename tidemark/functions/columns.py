@@ -37,6 +37,16 @@ def count_if(cond: Column) -> Column:
     return F.count_if(cond)
 
 
+def counted(cond: Column, rows: str | None = None) -> Column:
+    """Aggregate: rows that meet ``cond``; ``rows`` names the number of rows that a row stands for."""
+    return F.count_if(cond) if rows is None else F.sum(F.when(cond, F.col(rows)).otherwise(0))
+
+
+def mean(x, rows: str) -> Column:
+    """Aggregate: mean of ``x`` where a row stands for ``rows`` rows; nulls do not count."""
+    return div(F.sum(col(x) * F.col(rows)), F.sum(F.when(col(x).isNotNull(), F.col(rows))))
+
+
 def sha256(x) -> Column:
     return F.sha2(col(x).cast("string").cast("binary"), 256)
 

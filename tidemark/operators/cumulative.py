@@ -104,9 +104,11 @@ def value_ranks(df: DataFrame, keys: list[str], value: str, weight: str | None =
                       (F.col("cum_n") - F.col("n") + (F.col("n") + 1) / 2.0).alias("avg_rank"))
 
 
-def quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, float], block_rows: int | None = None) -> DataFrame:
+def quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, float], block_rows: int | None = None,
+              rows: str | None = None) -> DataFrame:
     """Exact linearly interpolated quantiles per key, read off the running counts."""
-    cum = cumulative_by_key(df.filter(F.col(value).isNotNull()), keys, value, {"n": F.count(F.lit(1))}, block_rows)
+    n = F.sum(rows) if rows else F.count(F.lit(1))
+    cum = cumulative_by_key(df.filter(F.col(value).isNotNull()), keys, value, {"n": n}, block_rows)
     lo_n, hi_n = F.col("cum_n") - F.col("n"), F.col("cum_n")
     aggs = []
     for name, q in qs.items():

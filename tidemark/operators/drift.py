@@ -9,14 +9,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import div
+from ..functions.columns import counted, div
 from .cumulative import cumulative_by_key, quantiles
 
 
-def two_sample(df: DataFrame, keys: list[str], value: str, is_left: Column) -> DataFrame:
+def two_sample(df: DataFrame, keys: list[str], value: str, is_left: Column, rows: str | None = None) -> DataFrame:
     """KS statistic and Wasserstein distance between two sides per key, from one running count."""
     c = cumulative_by_key(df.withColumn("_left", is_left), keys, value, {
-        "nl": F.count_if(F.col("_left")), "nr": F.count_if(~F.col("_left"))}, following="_next")
+        "nl": counted(F.col("_left"), rows), "nr": counted(~F.col("_left"), rows)}, following="_next")
     gap = F.abs(div("cum_nl", "tot_nl") - div("cum_nr", "tot_nr"))
     return c.groupBy(*keys).agg(
         F.max("tot_nl").alias("n_left"), F.max("tot_nr").alias("n_right"), F.max(gap).alias("ks_statistic"),
@@ -52,10 +52,10 @@ def side_auc(df: DataFrame, keys: list[str], value: str, is_positive: Column) ->
     return a.select(*keys, F.greatest(F.col("a"), 1 - F.col("a")).alias("source_auc_symmetric"))
 
 
-def js_divergence(df: DataFrame, keys: list[str], p: str, is_left: Column, bins: int = 20) -> DataFrame:
+def js_divergence(df: DataFrame, keys: list[str], p: str, is_left: Column, bins: int = 20, rows: str | None = None) -> DataFrame:
     """Jensen-Shannon divergence of equal-width histograms on [0, 1], base 2, 1e-12 added to every bin."""
     b = F.least(F.floor(F.col(p) * bins), F.lit(bins - 1)).cast("int")
-    h = df.groupBy(*keys, b.alias("_b")).agg(F.count_if(is_left).alias("l"), F.count_if(~is_left).alias("r"))
+    h = df.groupBy(*keys, b.alias("_b")).agg(counted(is_left, rows).alias("l"), counted(~is_left, rows).alias("r"))
     tot = h.groupBy(*keys).agg(F.sum("l").alias("tl"), F.sum("r").alias("tr"), F.count(F.lit(1)).alias("used"))
     eps = 1e-12
     j = h.join(tot, keys)

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import fixtures as fx
-from ..functions.columns import count_if, rnd, sign_int
+from ..functions.columns import count_if, mean, rnd, sign_int
 from ..functions.special import kolmogorov_p
 from ..functions.urls import FEATURE_NAMES
 from ..operators import drift as D
@@ -71,7 +71,7 @@ js AS (SELECT repetition, model, label, sum(0.5 * pl * log2(pl / ((pl + pr) / 2)
 
 @query("i04_jensen_shannon", "SELECT repetition, model, label, round(js, 9) + 0.0 AS js_divergence FROM js", SCORED, _JS)
 def i04(spark, sf):
-    out = D.js_divergence(fx.scored(spark, sf), ["repetition", "model", "label"], "p", F.col("dataset") == "F")
+    out = D.js_divergence(fx.scored_counts(spark, sf), ["repetition", "model", "label"], "p", F.col("dataset") == "F", rows="n")
     return out.withColumn("js_divergence", rnd("js_divergence"))
 
 
@@ -160,22 +160,22 @@ QS = {"p05": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95}
    (SELECT repetition, model, label, p, count(*) FILTER (WHERE dataset = 'F') AS l, count(*) FILTER (WHERE dataset = 'O') AS r FROM fx_scored GROUP BY ALL) WINDOW w AS (PARTITION BY repetition, model, label ORDER BY p), k AS (PARTITION BY repetition, model, label)) GROUP BY ALL) w USING (repetition, model, label)
  JOIN (SELECT repetition, model, label, round(js, 8) + 0.0 AS js FROM js) js USING (repetition, model, label)""", SCORED, _JS)
 def i11(spark, sf):
-    rows, keys = fx.scored(spark, sf), ["repetition", "model", "label"]
+    rows, keys = fx.scored_counts(spark, sf), ["repetition", "model", "label"]
     left = F.col("dataset") == "F"
-    m = rows.groupBy(*keys).agg(*[rnd(F.avg(F.when(c, e)), 8).alias(f"{s}_{n}") for s, c in (("left", left), ("right", ~left))
+    m = rows.groupBy(*keys).agg(*[rnd(mean(F.when(c, e), "n"), 8).alias(f"{s}_{n}") for s, c in (("left", left), ("right", ~left))
                                   for n, e in (("mean", F.col("p")), ("positive_rate", (F.col("p") >= 0.5).cast("double")))])
-    q = quantiles(rows, [*keys, "dataset"], "p", QS)
+    q = quantiles(rows, [*keys, "dataset"], "p", QS, rows="n")
     w = q.groupBy(*keys).agg(*[rnd(F.max(F.when(F.col("dataset") == d, F.col(n))), 8).alias(f"{s}_{n}") for d, s in (("F", "left"), ("O", "right")) for n in QS])
-    ws = D.two_sample(rows, keys, "p", left).select(*keys, rnd("wasserstein_distance", 8).alias("wasserstein"))
-    js = D.js_divergence(rows, keys, "p", left).select(*keys, rnd("js_divergence", 8).alias("js_divergence"))
+    ws = D.two_sample(rows, keys, "p", left, "n").select(*keys, rnd("wasserstein_distance", 8).alias("wasserstein"))
+    js = D.js_divergence(rows, keys, "p", left, rows="n").select(*keys, rnd("js_divergence", 8).alias("js_divergence"))
     return m.join(w, keys).join(ws, keys).join(js, keys)
 
 
 @query("i12_score_summary", "SELECT dataset, model, label, count(*) AS n, round(avg(p), 9) + 0.0 AS mean, round(median(p), 9) + 0.0 AS median, round(quantile_cont(p, 0.05), 9) + 0.0 AS p05, round(quantile_cont(p, 0.95), 9) + 0.0 AS p95 FROM fx_scored GROUP BY ALL", SCORED)
 def i12(spark, sf):
-    rows, keys = fx.scored(spark, sf), ["dataset", "model", "label"]
-    a = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), rnd(F.avg("p")).alias("mean"))
-    q = quantiles(rows, keys, "p", {"median": 0.5, "p05": 0.05, "p95": 0.95})
+    rows, keys = fx.scored_counts(spark, sf), ["dataset", "model", "label"]
+    a = rows.groupBy(*keys).agg(F.sum("n").alias("n"), rnd(mean("p", "n")).alias("mean"))
+    q = quantiles(rows, keys, "p", {"median": 0.5, "p05": 0.05, "p95": 0.95}, rows="n")
     return a.join(q.select(*keys, *[rnd(c).alias(c) for c in ("median", "p05", "p95")]), keys)
 
 
@@ -189,7 +189,7 @@ def i13(spark, sf):
 @query("i14_orientation_audit", f"""SELECT dataset, model, count(*) AS runs, round(max(abs(roc_auc + inv - 1)), 6) + 0.0 AS max_identity_error, count(*) FILTER (WHERE roc_auc < 0.5) AS below_chance, count(*) FILTER (WHERE roc_auc < 0.4) AS strong_reversal
 FROM runs JOIN (SELECT {RUN}, {AUC} AS inv FROM inv GROUP BY ALL) USING ({RUN}) GROUP BY ALL""", SCORED, RUNS + "," + score_ctes(name="inv", score="1 - p"))
 def i14(spark, sf):
-    return M.reversal_errors(fx.scored(spark, sf), K).groupBy("dataset", "model").agg(
+    return M.reversal_errors(fx.scored_counts(spark, sf), K, rows="n").groupBy("dataset", "model").agg(
         F.count(F.lit(1)).alias("runs"), rnd(F.max("complement_error"), 6).alias("max_identity_error"),
         count_if(F.col("roc_auc") < 0.5).alias("below_chance"), count_if(F.col("roc_auc") < 0.4).alias("strong_reversal"))
 

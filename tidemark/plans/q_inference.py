@@ -161,7 +161,7 @@ def l12(spark, sf):
 
 def _cluster_evidence(spark, sf):
     cov = I.covariance_pairs(clusters(spark, sf), ["dataset"], RC).withColumn("covariance", F.col("covariance") / (SC * SC))
-    s = M.score_table(fx.scored(spark, sf).filter("split = 'test'"), K).groupBy(*K).agg(M.roc_auc().alias("a"))
+    s = M.score_table(fx.scored_counts(spark, sf, True).filter("split = 'test'"), K, rows="n").groupBy(*K).agg(M.roc_auc().alias("a"))
     obs = s.groupBy("dataset", F.col("repetition").alias("run")).agg(F.sum(F.when(F.col("model") == "m1", F.col("a")).otherwise(-F.col("a"))).alias("delta"))
     return I.cluster_interval(cov, obs, ["dataset"])
 
