@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..sources.files import scratch
 from . import metrics as M
 from .logit import Linear, fit_logistic, matrix, membership
-from .trees import LOCAL_BYTES, Ensemble, Tree, fit_trees
+from .trees import LOCAL_BYTES, Ensemble, Tree, added, fit_trees
 
 # Three candidates per family.
 GRID = {
@@ -37,6 +37,7 @@ GRID = {
 MODEL_BYTES = 128 << 20  # models of one scoring pass
 SHARD_BYTES = 64 << 20  # held trees written at a time
 BLOCK_ROWS = 1 << 16  # rows that meet the trees of a stored model at a time
+TREE_BYTES = 32 << 20  # trees of a stored model that rows meet at a time
 
 
 @dataclass(frozen=True)
@@ -145,7 +146,8 @@ def score(df: DataFrame, models: list, which: Column | None = None, keep: list[s
 
 def _score_stored(rows: DataFrame, models: list, numbers: list[int], kept: list[str], names: list[str], schema: str) -> DataFrame:
     """Rows, one byte per feature, meet the trees of each model in blocks of about ``BLOCK_ROWS``; a block reads the trees
-    in their order, so reruns add up alike."""
+    in their order, so reruns add up alike.  Trees beyond ``TREE_BYTES`` come in further passes to which the rows carry
+    their sums, so a task never holds a whole large forest."""
     spark, heads = rows.sparkSession, {d: models[d] for d in numbers}  # cuts, no trees
     rows = rows.filter(F.arrays_overlap("_which", F.array(*[F.lit(d) for d in numbers])))
     blocks = max(1, -(-rows.count() // BLOCK_ROWS))
@@ -166,17 +168,31 @@ def _score_stored(rows: DataFrame, models: list, numbers: list[int], kept: list[
                     yield pa.RecordBatch.from_arrays([*mine.columns, pa.array(np.full(len(at), d, np.int32)), bins[way[d]].take(pa.array(at))],
                                                      [*kept, "_block", "model", "_bins"])
 
-    def rate(key: tuple[pa.Scalar, ...], mine: pa.Table, trees: pa.Table) -> pa.Table:
-        head, n = held.value[0][key[0].as_py()], mine.num_rows
-        data, order = trees.column("data"), np.argsort(trees.column("tree").to_numpy(), kind="stable") if n else []
-        bins = np.frombuffer(b"".join(mine.column("_bins").to_pylist()), np.uint8).reshape(n, -1) if n else np.zeros((0, 1), np.uint8)
-        p = head.rated(bins, (Tree.unpack(data[int(i)].as_py()) for i in order))
-        return mine.select([*kept, "model"]).append_column("p", pa.array(p))
+    parts = {d: max(1, min(m.size, -(-m.bytes // TREE_BYTES))) for d, m in heads.items()}
+    passes = max(parts.values())
+
+    def rate(last: bool):
+        def run(key: tuple[pa.Scalar, ...], mine: pa.Table, trees: pa.Table) -> pa.Table:
+            head, n = held.value[0][key[0].as_py()], mine.num_rows
+            data, order = trees.column("data"), np.argsort(trees.column("tree").to_numpy(), kind="stable") if n else []
+            bins = np.frombuffer(b"".join(mine.column("_bins").to_pylist()), np.uint8).reshape(n, -1) if n else np.zeros((0, 1), np.uint8)
+            total = added(mine.column("_total").to_numpy(), bins, (Tree.unpack(data[int(i)].as_py()) for i in order))
+            if last:
+                return mine.select([*kept, "model"]).append_column("p", pa.array(head.rates(total)))
+            return mine.set_column(mine.schema.get_field_index("_total"), "_total", pa.array(total))
+        return run
 
     fields = schema.rsplit(", model int", 1)[0]
-    binned = rows.mapInArrow(cut, f"{fields}, _block int, model int, _bins binary")
-    trees = _stored_trees(spark, models, numbers).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    return binned.groupBy("model", "_block").cogroup(trees.groupBy("model", "_block")).applyInArrow(rate, schema)
+    state = f"{fields}, _block int, model int, _bins binary, _total double"
+    binned = rows.mapInArrow(cut, f"{fields}, _block int, model int, _bins binary").withColumn("_total", F.lit(0.0))
+    size, share = (F.create_map(*[F.lit(v) for d in numbers for v in (d, n(d))]) for n in (lambda d: max(1, heads[d].size), parts.get))
+    trees = _stored_trees(spark, models, numbers).withColumn("_pass", F.floor(F.col("tree") * share[F.col("model")] / size[F.col("model")]))
+    trees = trees.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    for k in range(passes):
+        now = trees.filter(F.col("_pass") == k).drop("_pass")
+        last = k + 1 == passes
+        binned = binned.groupBy("model", "_block").cogroup(now.groupBy("model", "_block")).applyInArrow(rate(last), schema if last else state)
+    return binned
 
 
 def _stored_trees(spark: SparkSession, models: list, numbers: list[int]) -> DataFrame:
@@ -234,7 +250,8 @@ def _head(model) -> bytes:
     if isinstance(model, Linear):
         head = {"kind": "linear", "intercept": model.intercept, "coefficients": model.coefficients, "steps": model.steps}
     else:
-        head = {"kind": "ensemble", "cuts": [c.tolist() for c in model.cuts], "boosted": model.boosted, "base": model.base, "size": model.size}
+        head = {"kind": "ensemble", "cuts": [c.tolist() for c in model.cuts], "boosted": model.boosted, "base": model.base, "size": model.size,
+                "bytes": model.bytes or 15 * sum(len(t.feature) for t in model.held)}
     return json.dumps({"features": model.features, "error": model.error, **head}).encode()
 
 
@@ -269,7 +286,7 @@ def load(spark: SparkSession, path: str, wanted: list[int] | None = None) -> lis
             out.append(Linear(tuple(head["features"]), head["intercept"], tuple(head["coefficients"]), head["steps"], head["error"]))
         else:
             out.append(Ensemble(tuple(head["features"]), tuple(np.array(c, float) for c in head["cuts"]), head["boosted"], head["base"], (),
-                                head["error"], f"{path}/trees", r.model, head["size"]))
+                                head["error"], f"{path}/trees", r.model, head["size"], head.get("bytes", 0)))
     return out
 
 
