@@ -288,6 +288,50 @@ def test_passages_of_sentences_that_stand_singly_elsewhere_are_found(spark):
     assert [p for p in pairs if find(p[0]) != find(p[1])] == []
 
 
+def test_passages_among_many_nearer_neighbours_are_found(spark):
+    """Two texts alike at 0.9 whose runs of equal words also stand in 45 others each, so that these come between them in
+    every order of what goes before and what follows."""
+    rng = random.Random(13)
+    rows, pairs = [], []
+
+    def add(words):
+        rows.append((len(rows), " ".join([prose(rng, 30, 10**6), *words, prose(rng, 30, 10**6)])))
+        return len(rows) - 1
+    for i in range(12):
+        words = [f"u{i}_{j}" for j in range(60)]
+        for j in range(0, 60, 10):
+            for n in range(45):
+                add(words[j:j + 10])
+        pairs.append((add(words), add([w if j % 10 else f"v{i}_{j}" for j, w in enumerate(words)])))
+    found = {tuple(sorted((r.doc_id, r.other_id))) for r in fuzzy_passages(frame(spark, rows)).collect()}
+    assert [p for p in pairs if p not in found] == []
+
+
+def test_edges_of_shared_runs_are_seeds(spark):
+    """Of every run of words that two texts share, the first and the last five-word string are seeds."""
+    from tidemark.llm.op02_chaining import _pack_batches, find_seeds
+
+    rng = random.Random(15)
+    texts = [" ".join(rng.choice([f"k{j}", f"k{j}", f"r{rng.randrange(10**6)}"]) for j in range(200)) for _ in range(8)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "rid long, text string").selectExpr(
+        "rid", "rid AS id", "false AS copied", "200 AS n_words", "'' AS digest", "text").repartition(3)
+    known = "array<struct<rid: long, id: long, copied: boolean, n_words: int, digest: string>>"
+    packs = rows.mapInArrow(_pack_batches, f"pack long, known {known}, blob binary")
+    seeds = {(r.rid, r.pos) for r in find_seeds(packs, 1600).select("rid", "pos").collect()}
+    words = [t.split() for t in texts]
+    for a in range(8):
+        for b in range(8):
+            same = [a != b and x == y for x, y in zip(words[a], words[b])] + [False]
+            start = None
+            for j, equal in enumerate(same):
+                if equal and start is None:
+                    start = j
+                elif not equal and start is not None:
+                    if j - start >= K:
+                        assert {(a, start), (a, j - K)} <= seeds
+                    start = None
+
+
 # --- fingerprints, tokens, mix
 
 def test_fingerprints_of_equal_and_edited_texts(spark):
