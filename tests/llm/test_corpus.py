@@ -307,6 +307,25 @@ def test_passages_among_many_nearer_neighbours_are_found(spark):
     assert [p for p in pairs if p not in found] == []
 
 
+def test_passages_of_one_rare_and_frequent_seeds_are_found(spark):
+    """Two texts share three lines that 70 others have too, and one five-word string of their own."""
+    rng = random.Random(17)
+    rows, pairs = [], []
+
+    def add(words):
+        rows.append((len(rows), " ".join([prose(rng, 30, 10**6), *words, prose(rng, 30, 10**6)])))
+        return len(rows) - 1
+    for i in range(8):
+        lines = [[f"l{i}_{n}_{j}" for j in range(12)] for n in range(3)]
+        for line in lines:
+            for n in range(70):
+                add(line)
+        own = [f"o{i}_{j}" for j in range(5)]
+        pairs.append(tuple(add([*lines[0], f"{side}1", *lines[1], f"{side}2", *own, f"{side}3", *lines[2]]) for side in "ab"))
+    found = {tuple(sorted((r.doc_id, r.other_id))) for r in fuzzy_passages(frame(spark, rows)).collect()}
+    assert [p for p in pairs if p not in found] == []
+
+
 def test_edges_of_shared_runs_are_seeds(spark):
     """Of every run of words that two texts share, the first and the last five-word string are seeds."""
     from tidemark.llm.op02_chaining import _pack_batches, find_seeds
