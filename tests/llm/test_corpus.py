@@ -326,6 +326,45 @@ def test_passages_of_one_rare_and_frequent_seeds_are_found(spark):
     assert [p for p in pairs if p not in found] == []
 
 
+def test_passages_of_frequent_seeds_alone_are_found(spark, monkeypatch):
+    """Two texts whose common lines stand in 70 others each, with other words before and after: neighbours in no order.
+    The size of the cells that occurrences meet in changes no row."""
+    import tidemark.llm.op02_chaining as op
+
+    rng = random.Random(19)
+    rows, pairs = [], []
+
+    def add(words):
+        rows.append((len(rows), " ".join([prose(rng, 30, 10**6), *words, prose(rng, 30, 10**6)])))
+        return len(rows) - 1
+    for i in range(6):
+        lines = [[f"l{i}_{n}_{j}" for j in range(12)] for n in range(4)]
+        for line in lines:
+            for n in range(70):
+                add(line)
+        pairs.append(tuple(add([w for n, line in enumerate(lines) for w in (*line, f"{side}{n}")]) for side in "ab"))
+    out = [tuple(r) for r in fuzzy_passages(frame(spark, rows)).collect()]
+    assert {tuple(sorted(r[:2])) for r in out} == set(pairs)
+    monkeypatch.setattr(op, "CELL", 16)
+    assert sorted(out) == sorted(tuple(r) for r in fuzzy_passages(frame(spark, rows)).collect())
+
+
+def test_repeated_lines_of_two_texts_are_matched_place_by_place(spark):
+    """Seeds that stand more than once in both texts, one of them frequent: the matches are all pairs of places."""
+    from tidemark.llm.op02_chaining import _known, _pack_chains, _unpack_chains, meetings
+
+    rows = [(1, r, p, r == 1 and p < 9) for r in (1, 2, 3) for p in range(0, 30, 3 * r)] + [(2, 2, 50, True), (2, 3, 60, True), (3, 1, 70, False), (3, 3, 70, False)]
+    places = spark.createDataFrame([(*r, 90) for r in rows], "seed long, rid long, pos int, done boolean, n long")
+    want = {}
+    for seed, rid, pos, done in rows:
+        for other_seed, other, at, settled in rows:
+            if seed == other_seed and rid > other and not (done and settled):
+                want.setdefault((rid, other), set()).add((pos, at))
+    assert {(r.rid, r.other): _known(r.asDict(recursive=True)) for r in meetings(places).collect()} == want
+    found = [[(3, 90), (4, 91), (60, 120)], [(0, 0), (9, 7)]]
+    assert [list(map(tuple, c.tolist())) for c in _unpack_chains(_pack_chains(found))] == found
+
+
 def test_edges_of_shared_runs_are_seeds(spark):
     """Of every run of words that two texts share, the first and the last five-word string are seeds."""
     from tidemark.llm.op02_chaining import _pack_batches, find_seeds
