@@ -146,3 +146,22 @@ def test_grown_trees_stay_out_of_the_driver(spark, frame):
     got = {(r.sample_id, r.model): r.p for r in L.score(frame, models, None, ["sample_id"]).collect()}
     for d, m in enumerate(models):
         assert [got[i, d] for i in range(600)] == list(m.probabilities(x, NAMES))
+
+
+def test_forests_do_not_depend_on_the_nodes_sorted_at_a_time(monkeypatch):
+    """Many small nodes, with and without class weights, against one split search over all of them with three sums."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(4000, 9))
+    y = (x[:, 0] * x[:, 1] + rng.normal(size=4000) > 0).astype(float)
+    bins = (np.argsort(np.argsort(x, axis=0), axis=0) * 256 // 4000).astype(np.uint8)
+    for weights in ((1.0, 1.0), (0.75, 1.5)):
+        rule = T.Rule(False, 1, 30, 1, 0.1, 3, tuple(range(9)), weights, 0.0)
+        bag = rule.draw(np.arange(4000, dtype=np.uint64), 0)
+        monkeypatch.setattr(T, "SORTED", 1 << 16)
+        with monkeypatch.context() as m:
+            m.setattr(T.Rule, "plain", lambda self: False)
+            want = T.grow(rule, 0, bins, y, bag, None)
+        assert len(want.feature) > 1000
+        for nodes in (1, 7, 1024):
+            monkeypatch.setattr(T, "SORTED", nodes)
+            assert T.grow(rule, 0, bins, y, bag, None).pack() == want.pack()
